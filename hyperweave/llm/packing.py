@@ -13,7 +13,9 @@ its own rows only, and their ids start with the task's partition number.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,21 +28,27 @@ from hyperweave.llm.common import table
 
 SEQUENCE_TOKENS = 2048
 MAX_SEGMENTS = 64
-WINDOW_ITEMS = 2048
-CACHE_WORDS = 400_000
+WINDOW_ITEMS = 512
+CACHE_WORDS = 1_000_000
 END_ID = 1
 
+# Fixed values of the vocabulary: its pre-token classes for plain text (the apostrophe, which begins contractions,
+# is left out), and the characters that stand for the bytes of other letters.
+PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-&(-/:-@\[-`{-~]+").fullmatch
+RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
+BYTE_CHARS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def choose(demand: np.ndarray, left: np.ndarray, capacity: np.ndarray) -> int:
-    """The row of ``demand`` that fits in ``left`` with the largest dot product; -1 if none fits."""
-    fits = (demand <= left).all(1)
-    if not fits.any():
-        return -1
-    score = (demand / capacity) @ (left / capacity)
-    score[~fits] = -1.0
-    return int(score.argmax())
+def choose(demand: np.ndarray, share: np.ndarray, left: np.ndarray, capacity: np.ndarray) -> int:
+    """The row of ``demand`` that fits in ``left`` with the largest dot product; -1 if none fits.
+
+    ``share``: demand / capacity."""
+    score = share @ (left / capacity)
+    score[(demand > left).any(1)] = -1.0
+    best = int(score.argmax())
+    return best if score[best] >= 0 else -1
 
 
 class Packer:
@@ -90,15 +98,15 @@ class Packer:
         keep = 0 if last else len(keys) // 2
         while len(there) > keep:
             left, own = self.capacity.copy(), []
+            d = demand[there]
+            share = d / self.capacity
             while len(there) and left.min() > 0:
-                d = demand[there]
-                i = choose(d, left, self.capacity)
+                i = choose(d, share, left, self.capacity)
                 if i < 0:
                     if not self.cut:
                         break
                     # none fits: the one with the best part that fits is cut
-                    share = np.minimum(1.0, (left / np.maximum(d, 1)).min(1))
-                    fit = np.floor(d[:, 0] * share).astype(np.int64)
+                    fit = np.floor(d[:, 0] * np.minimum(1.0, (left / np.maximum(d, 1)).min(1))).astype(np.int64)
                     fit[left[1] < 1] = 0
                     i = int(fit.argmax())
                     take = int(fit[i])
@@ -110,11 +118,13 @@ class Packer:
                     starts[k] += take
                     demand[k] -= (take, 0, loss)
                     left -= (take, 1, loss)
+                    d[i], share[i] = demand[k], demand[k] / self.capacity
                     continue
                 k = there[i]
                 own.append([k, starts[k], int(demand[k, 0]), int(demand[k, 2])])
                 left -= demand[k]
-                there = np.delete(there, i)
+                keep_rows = np.arange(len(there)) != i
+                there, d, share = there[keep_rows], d[keep_rows], share[keep_rows]
             if not own:  # without cutting: an example over the capacity stands alone
                 k, there = there[0], there[1:]
                 own.append([k, starts[k], int(demand[k, 0]), int(demand[k, 2])])
@@ -185,63 +195,53 @@ def _sequence_ids() -> Iterator[int]:
         n += 1
 
 
-class WordTokens:
+class WordTokens(dict):
     """Token ids, as little-endian unsigned 32-bit bytes, of texts under a vocabulary that ends words at white space.
 
-    Words between spaces and newlines are encoded once and kept (bounded); a text's ids are the join of its words'.
+    Words between spaces and newlines are encoded once and kept, up to ``CACHE_WORDS``; a text's ids are the join of
+    its words' ids.
     """
 
-    MARK = "☃"
-
     def __init__(self, path: str):
+        super().__init__({b"": b""})
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.mark = np.array(self._ids(self.MARK), np.uint32)
-        self.known: dict[bytes, bytes] = {b"": b""}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words: all in one call, told apart by a mark that has known ids."""
-        odd = [w for w in words if len(w) > 200 or self.MARK.encode() in w]
-        learnt = {w: np.array(self._ids(w.decode()), "<u4").tobytes() for w in odd}
-        plain = [w for w in words if w not in learnt] if odd else words
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            ids = np.array(self._ids(f" {self.MARK} ".join(w.decode() for w in some)), "<u4")
-            hit = np.ones(max(0, len(ids) - len(self.mark) + 1), bool)
-            for j, m in enumerate(self.mark):
-                hit &= ids[j : j + len(hit)] == m
-            cuts = np.flatnonzero(hit)
-            if len(cuts) == len(some) - 1:
-                begins, ends = [0, *(cuts + len(self.mark)).tolist()], [*cuts.tolist(), len(ids)]
-                raw = ids.tobytes()
-                learnt.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, begins, ends))
-            else:  # other words have the mark's ids
-                learnt.update((w, np.array(self._ids(w.decode()), "<u4").tobytes()) for w in some)
-        return learnt
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+
+    def _run(self, run: str) -> bytes:
+        """Ids of one pre-token; the vocabulary's model takes its bytes as printable characters."""
+        raw = run.encode()
+        found = self.get(raw)
+        if found is None:
+            chars = run if run.isascii() else raw.decode("latin-1").translate(BYTE_CHARS)
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        """Plain Latin letters, digits and marks need only lower case and are cut into pre-tokens here; any other word
+        goes through the whole tokenizer."""
+        text = word.decode()
+        plain = text.lower()
+        if len(word) <= 64 and PLAIN(plain):
+            runs = RUNS(plain)
+            ids = self._run(plain) if len(runs) == 1 else b"".join(map(self._run, runs))
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self[b""] = b""
         # ASCII letters may be lower-cased first, as the vocabulary does; not beside combining marks, which
         # are composed before that.
-        split = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {b"": b""}
-        fresh: set[bytes] = set()
-        for words in split:
-            fresh.update(words)
-        fresh.difference_update(self.known)
-        learnt = self._learn(list(fresh)) if fresh else {}
-        self.known.update((w, ids) for w, ids in learnt.items() if len(w) <= 64)
-        if any(len(w) > 64 for w in learnt):
-            look = {**self.known, **learnt}.__getitem__
-        else:
-            look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        if b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.replace(b"\n", b" ").split(b" ")))
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -283,24 +283,21 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
                         del kept[key]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        end = np.array([END_ID], "<u4").tobytes()
+        end = END_ID.to_bytes(4, "little")
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-            at = 0
-            while at < len(texts):
-                some, size = [], 0
-                while at + len(some) < len(texts) and size < 1 << 21:
-                    some.append(texts[at + len(some)].as_py())
-                    size += len(some[-1])
-                done = []
-                for doc_id, got in zip(batch.column(0).slice(at, len(some)).to_pylist(), words.encode(some)):
-                    n = len(got) // 4 + 1
-                    kept[serial] = [doc_id, n, got + end, n]
-                    done += packer.add(serial, n, n)
-                    serial += 1
-                at += len(some)
-                if done:
+            done = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
+                got = words.encode(text.as_py())
+                n = len(got) // 4 + 1
+                kept[serial] = [doc_id, n, got + end, n]
+                done += packer.add(serial, n, n)
+                serial += 1
+                if len(done) > 1024:
                     yield rows(done)
+                    done = []
+            if done:
+                yield rows(done)
         yield rows(packer.finish())
 
     took = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
