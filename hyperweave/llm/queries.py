@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from hyperweave.llm import mixing, packing, quality_gam, quality_rules, url_filter
+from hyperweave.llm import jaccard_join, mixing, packing, quality_gam, quality_rules, url_filter
 
 QUERIES = {
     "op1_vector_packing": packing.op1_vector_packing,
     "op2_poisson_mixing": mixing.op2_poisson_mixing,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_url_filter": url_filter.op4_url_filter,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_quality_gam": quality_gam.op9_quality_gam,
