@@ -50,7 +50,11 @@ def shingle_hashes(df: DataFrame, text: str, name: str) -> DataFrame:
 
 def signature(shingles: Column) -> Column:
     """One long for each band: its number and the smallest hash under its seed."""
-    return F.array(*[F.xxhash64(F.lit(b), F.array_min(F.transform(shingles, lambda s, b=b: F.xxhash64(F.lit(b), s)))) for b in range(BANDS)])
+
+    def band(seed: int) -> Column:
+        return F.xxhash64(F.lit(seed), F.array_min(F.transform(shingles, lambda s: F.xxhash64(F.lit(seed), s))))
+
+    return F.array(*map(band, range(BANDS)))
 
 
 def window_words(shingles: int) -> int:
