@@ -102,8 +102,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
         nulls = [F.lit(None).cast(split.schema[c].dataType if c != "probe" else "int").alias(c) for c in ranged]
         openings = _stacks(rules.select(F.col("rule_key").alias("key")).distinct(), rules, lengths)
         openings = openings.select(*nulls, "key", _bucket(F.col("key"), F.col("key"), bounds).alias("bucket"), "stack")
-        starts = _stacks(spark.createDataFrame([(b,) for b in dict.fromkeys(bounds)] or [("",)], "key string"), rules, lengths)
-        places = spark.createDataFrame([("", 0), *((b, i + 1) for i, b in enumerate(bounds))], "key string, bucket int")
+        starts = _stacks(spark.range(1).select(F.explode(F.array(*map(F.lit, dict.fromkeys(["", *bounds])))).alias("key")), rules, lengths)
+        places = spark.range(1).select(F.posexplode(F.array(*map(F.lit, ["", *bounds]))).alias("bucket", "key"))
         starts = places.join(starts, "key", "left").select(*nulls, "key", "bucket", F.coalesce("stack", F.array().cast(starts.schema["stack"].dataType)).alias("stack"))
         # A rule at a bound opens in the last of the ranges of that key; the bound's own stack has it as well.
         urls = probes.select(*ranged, "key", F.when(F.col("key").isNull(), F.pmod(F.xxhash64("id", "path"), F.lit(len(bounds) + 1)).cast("int")).otherwise(_bucket(F.col("key"), F.struct("id", "host", "path"), bounds)).alias("bucket"), F.lit(None).cast(openings.schema["stack"].dataType).alias("stack"))
@@ -121,7 +121,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: every page's url under the production rules."""
-    return filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(list(RULES), "host string, path string, verdict string"))
+    return filter_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS rules(host, path, verdict)"))
 
 
 OP4_SQL = f"""
