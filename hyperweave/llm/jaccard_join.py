@@ -12,10 +12,11 @@ lost, which changes the order, never the result. The list of frequent shingles h
 Steps, each of whose tables is written to the shared folder:
 1. frequent shingles; 2. one row per document with its size, its set's digest and its prefix; 3. documents of equal
 sets become one class; 4. classes meet at the shingles of their prefixes. At a shingle with few classes, pairs are
-emitted, and those that met often enough are candidates; at one with many, no pairs are: the classes go to a common
-unit, in blocks. 5. Candidates are gathered into units around common neighbours, each text of a unit is sent there
-once, and a unit verifies its pairs exactly, after a bitmap bound, unless they are linked already; what it emits is
-a spanning forest of the links. 6. Connected components of the links.
+emitted, and those that met often enough are candidates; at one with many, no pairs are: the classes go to the unit of
+the first of them. 5. Candidates go to the unit of a common neighbour (as pairs of blocks where a unit is large) with
+bitmaps of their sets, which bound what two sets differ in from below; a unit splits into the groups that the bound
+leaves together. 6. Texts of such groups are sent there, and links within are verified exactly, unless the two are
+linked already; a group emits a spanning forest of its links. 7. Connected components of the links.
 
 Scale: shuffles hold the prefixes (about a fifth of all shingles), then the texts of candidates only. No group is
 collected: posting lists are streamed, units are bounded (``UNIT_DOCS``; larger ones go as pairs of blocks).
@@ -36,7 +37,7 @@ from hyperweave.llm.components import components
 
 PER_CENT = 80
 BLOCK_FLOOR, FREQUENT_FLOOR, FREQUENT_MAX = 4, 16, 1 << 18
-LIST_PAIRS, UNIT_DOCS = 64, 2048
+LIST_PAIRS, UNIT_DOCS = 32, 2048
 VERIFY_COST, CHANCE_HITS = 4.0, 0.1
 FILTER_BITS = 1 << 24
 U = np.uint64
@@ -95,12 +96,13 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, n_often = shared.value
         for batch in batches:
-            sizes, firsts, seconds, matches, parts = [], [], [], [], []
+            sizes, firsts, seconds, matches, parts, maps = [], [], [], [], [], []
             for s in textkernel.shingle_sets(batch.column(1)):
                 l, p = prefix(s, often, n_often)
                 sizes.append(len(s))
                 matches.append(l)
                 parts.append(p)
+                maps.append(bitmap(s).tobytes())
                 # the sum and the exclusive or of mixed members tell equal sets
                 firsts.append(int(textkernel.mix(s).sum(dtype=U)) if len(s) else 0)
                 seconds.append(int(np.bitwise_xor.reduce(textkernel.mix(s + U(0x9E3779B97F4A7C15)))) if len(s) else 0)
@@ -109,14 +111,15 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> Data
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(firsts, U).view(np.int64)), pa.array(np.array(seconds, U).view(np.int64)),
                 pa.array(matches, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-            ], names=["doc_id", "n_shingles", "d1", "d2", "matches", "prefix"])
+                pa.array(maps, pa.binary()),
+            ], names=["doc_id", "n_shingles", "d1", "d2", "matches", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, matches int, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, matches int, prefix array<long>, bits binary")
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams (shingle, doc, size, matches), sorted by shingle and doc. Short lists give pairs (kind 0: a < b, the matches
-    asked), long ones their members (kind 1: shingle, doc). Pairs whose sizes exclude a link are left out."""
+    asked), long ones their members (kind 1: the list's first doc, doc). Pairs whose sizes exclude a link are left out."""
 
     def out(kind: int, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], names=["kind", "a", "b", "need"])
@@ -124,7 +127,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def lists(c: list[np.ndarray], begins: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
         long = np.repeat(lengths > LIST_PAIRS, lengths)
         if long.any():
-            yield out(1, c[0][long], c[1][long], np.zeros(long.sum()))
+            yield out(1, np.repeat(c[1][begins], lengths)[long], c[1][long], np.zeros(long.sum()))
         c = [x[~long] for x in c]
         for step in range(1, LIST_PAIRS):
             if len(c[0]) <= step:
@@ -139,7 +142,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(0, c[1][i], c[1][j], np.minimum(c[3][i], c[3][j]))
 
     rest: list[np.ndarray] | None = None
-    streaming = None  # a long list's shingle, whose members go out as they come
+    streaming = first = None  # a long list's shingle and first doc; its members go out as they come
     for batch in batches:
         c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
         if rest is not None:
@@ -150,7 +153,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if streaming is not None:
             same = c[0] == streaming
             if same.any():
-                yield out(1, c[0][same], c[1][same], np.zeros(same.sum()))
+                yield out(1, np.full(same.sum(), first), c[1][same], np.zeros(same.sum()))
             if not same.all():
                 streaming = None
             c = [x[~same] for x in c]
@@ -160,8 +163,8 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins = np.flatnonzero(np.concatenate([[True], c[0][1:] != c[0][:-1]]))
         last = begins[-1]
         if len(c[0]) - last > LIST_PAIRS:
-            streaming = c[0][-1]
-            yield out(1, c[0][last:], c[1][last:], np.zeros(len(c[0]) - last))
+            streaming, first = c[0][-1], c[1][last]
+            yield out(1, np.full(len(c[0]) - last, first), c[1][last:], np.zeros(len(c[0]) - last))
             rest = None
         else:
             rest = [x[last:] for x in c]
@@ -171,44 +174,81 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from lists(rest, np.zeros(1, np.int64), np.array([len(rest[0])]))
 
 
-def links_within(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets, as (smallest id of the tree, id)."""
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    ids, sets = ids[order], [sets[i] for i in order]
-    n = np.array([len(s) for s in sets], np.int64)
-    root = list(range(len(ids)))
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit is the parity of the members that fall on it: two bits or more for each member, up to 4096 in all."""
+    words = min(64, max(4, 1 << (2 * len(s) // 64).bit_length()))
+    odd = np.bincount((s & U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+
+
+class Forest:
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+    def find(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
         return i
 
-    words = min(64, max(4, 1 << (int(n.max(initial=1)) * 2 // 64).bit_length()))
-    bits = np.zeros((len(ids), words), U)
-    for i, s in enumerate(sets):
-        odd = np.flatnonzero(np.bincount((s & U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1)
-        np.bitwise_or.at(bits[i], odd >> 6, U(1) << (odd & 63).astype(U))
-    for i in range(len(ids)):
-        if not n[i]:
-            continue
-        end = int(np.searchsorted(n, n[i] * 100 // PER_CENT, "right"))
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+
+    def stars(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(smallest id of the tree, id) for each other id of each tree of two ids or more."""
+        roots = [self.find(i) for i in range(len(ids))]
+        least: dict[int, int] = {}
+        for r, x in zip(roots, ids.tolist()):
+            least[r] = min(least.get(r, x), x)
+        return sorted({(least[r], x) for r, x in zip(roots, ids.tolist()) if least[r] != x})
+
+
+def near_pairs(sizes: np.ndarray, bits: list[np.ndarray], forest: Forest) -> Iterator[tuple[int, int]]:
+    """Pairs, not yet in one tree, whose bitmaps don't exclude a link; ``sizes`` ascend, none is 0.
+
+    Sets are linked where 100 |both| >= 80 |either|, that is where (100 + 80) |difference| <= (100 - 80) (m + n).
+    """
+    folded: dict[int, np.ndarray] = {}
+    for i in range(len(sizes)):
+        end = int(np.searchsorted(sizes, sizes[i] * 100 // PER_CENT, "right"))
         if end <= i + 1:
             continue
-        apart = np.bitwise_count(bits[i + 1 : end] ^ bits[i]).sum(1, dtype=np.int64)
-        for j in (np.flatnonzero((100 + PER_CENT) * apart <= (100 - PER_CENT) * (n[i] + n[i + 1 : end])) + i + 1).tolist():
-            a, b = find(i), find(j)
-            if a == b:
-                continue
-            at = np.minimum(np.searchsorted(sets[j], sets[i]), n[j] - 1)
-            both = int((sets[j][at] == sets[i]).sum())
-            if 100 * both >= PER_CENT * (n[i] + n[j] - both):
-                root[max(a, b)] = min(a, b)
-    least: dict[int, int] = {}
-    for i in range(len(ids)):
-        r = find(i)
-        least[r] = min(least.get(r, int(ids[i])), int(ids[i]))
-    return [(least[find(i)], int(ids[i])) for i in range(len(ids)) if least[find(i)] != ids[i]]
+        width = len(bits[i])
+        if width not in folded:
+            level = np.zeros((len(sizes), width), U)
+            for j in range(i, len(sizes)):
+                level[j] = np.bitwise_xor.reduce(bits[j].reshape(-1, width))
+            folded[width] = level
+        level = folded[width]
+        apart = np.bitwise_count(level[i + 1 : end] ^ level[i]).sum(1, dtype=np.int64)
+        for j in (np.flatnonzero((100 + PER_CENT) * apart <= (100 - PER_CENT) * (sizes[i] + sizes[i + 1 : end])) + i + 1).tolist():
+            if forest.find(i) != forest.find(j):
+                yield i, j
+
+
+def groups_within(ids: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray]) -> list[tuple[int, int]]:
+    """What the bitmaps leave together, as (smallest id of the group, other id)."""
+    order = np.lexsort((ids, sizes))
+    forest = Forest(len(ids))
+    for i, j in near_pairs(sizes[order], [bits[i] for i in order], forest):
+        forest.join(i, j)
+    return forest.stars(ids[order])
+
+
+def links_within(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets, as (smallest id of the tree, id)."""
+    order = sorted((i for i in range(len(ids)) if len(sets[i])), key=lambda i: (len(sets[i]), ids[i]))
+    ids, sets = ids[order], [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    forest = Forest(len(ids))
+    for i, j in near_pairs(sizes, [bitmap(s) for s in sets], forest):
+        at = np.minimum(np.searchsorted(sets[j], sets[i]), sizes[j] - 1)
+        both = int((sets[j][at] == sets[i]).sum())
+        if 100 * both >= PER_CENT * (sizes[i] + sizes[j] - both):
+            forest.join(i, j)
+    return forest.stars(ids)
 
 
 def _units(met: DataFrame) -> DataFrame:
@@ -217,18 +257,13 @@ def _units(met: DataFrame) -> DataFrame:
     pairs = materialise(pairs, "candidates")
     towards = pairs.groupBy("b").agg(F.min("a").alias("near")).withColumnRenamed("b", "a")
     around = pairs.join(towards, "a", "left").select(F.coalesce("near", "a").alias("near"), "a", "b")
-    members = around.select("near", F.col("a").alias("doc_id")).unionAll(around.select("near", "b")).distinct()
+    # long lists of one group of documents mostly begin with the same document, and fall together under it
+    members = around.select("near", F.explode(F.array("a", "b")).alias("doc_id")).unionAll(met.where("kind = 1").select("a", "b"))
+    members = materialise(members.distinct(), "members")
     wide = members.groupBy("near").count().where(F.col("count") > UNIT_DOCS).select("near", F.ceil(F.col("count") / (UNIT_DOCS // 2)).cast("int").alias("blocks"))
-    place = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    around = around.join(wide, "near", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    around = around.withColumn("i", F.least(place("a"), place("b"))).withColumn("j", F.greatest(place("a"), place("b")))
-    ends = around.select("near", "i", "j", F.explode(F.array("a", "b")).alias("doc_id"))
-    few = ends.select(F.xxhash64(F.lit("near"), "near", "i", "j").alias("unit"), "doc_id")
-    lists = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("doc_id"))
-    sizes = lists.groupBy("shingle").agg(F.ceil(F.count("*") / (UNIT_DOCS // 2)).cast("int").alias("blocks")).withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
-    own = lists.join(sizes, "shingle").withColumn("own", place("doc_id")).select("shingle", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    many = own.select(F.xxhash64(F.lit("list"), "shingle", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "doc_id")
-    return few.unionAll(many).distinct()
+    own = members.join(wide, "near", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = own.select("near", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select(F.xxhash64("near", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "doc_id")
 
 
 def _wanted_texts(docs: DataFrame, units: DataFrame) -> DataFrame:
@@ -257,7 +292,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = full.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep"), "matches", "prefix").join(classes, ["d1", "d2", "n_shingles", "rep"])
     postings = reps.select(F.explode("prefix").alias("shingle"), "rep", F.col("n_shingles").cast("int").alias("size"), "matches")
     met = postings.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle", "rep").mapInArrow(meet, "kind byte, a long, b long, need int")
-    units = materialise(_units(materialise(met, "met")), "units")
+    units = _units(materialise(met, "met"))
+
+    def split(rows: pa.Table) -> pa.Table:
+        unit = rows["unit"][0].as_py()
+        found = groups_within(rows["doc_id"].to_numpy(), rows["n_shingles"].to_numpy(), [np.frombuffer(b, U) for b in rows["bits"].to_pylist()])
+        both = sorted({(a, x) for a, b in found for x in (a, b)})
+        return pa.table({"unit": pa.array([unit] * len(both), pa.int64()), "first": pa.array([a for a, _ in both], pa.int64()), "doc_id": pa.array([x for _, x in both], pa.int64())})
+
+    bounded = units.join(full.select("doc_id", "n_shingles", "bits"), "doc_id").groupBy("unit").applyInArrow(split, "unit long, first long, doc_id long")
+    units = materialise(bounded.select(F.xxhash64("unit", "first").alias("unit"), "doc_id"), "units")
     texts = _wanted_texts(docs.where("doc_id IS NOT NULL"), units).join(units, "doc_id")
 
     def verify(rows: pa.Table) -> pa.Table:
