@@ -17,7 +17,9 @@ def canonical_dictionary(spark: SparkSession, k: int = 4) -> DataFrame:
 
 def kmer_counts(sequences: DataFrame, min_length: int, k: int = 4) -> DataFrame:
     """(v, kmer, cnt); k-mers with other letters than ACGT don't count. Partial aggregation keeps 136 rows a sequence."""
-    long = sequences.where(F.length("seq") >= min_length).select("v", F.explode(fn.kmers(F.upper("seq"), k)).alias("kmer"))
+    # exploding an array of one keeps the upper-case sequence from being made anew for every k-mer
+    upper = sequences.select("v", F.explode(F.array(F.upper("seq"))).alias("seq"))
+    long = upper.where(F.length("seq") >= min_length).select("v", F.explode(fn.kmers(F.col("seq"), k)).alias("kmer"))
     return long.where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).groupBy("v", fn.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt"))
 
 
