@@ -21,6 +21,7 @@ QUERIES = {
 
 SQL = {
     "op2_poisson_mixing": mixing.OP2_SQL,
+    "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op6_license_scan": license_scan.OP6_SQL,
 }
