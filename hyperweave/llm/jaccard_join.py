@@ -13,13 +13,16 @@ Steps, each of whose tables is written to the shared folder:
 1. frequent shingles; 2. one row per document with its size, its set's digest and its prefix; 3. documents of equal
 sets become one class; 4. classes meet at the shingles of their prefixes. At a shingle with few classes, pairs are
 emitted, and those that met often enough are candidates; at one with many, no pairs are: the classes go to the unit of
-the first of them. 5. Candidates go to the unit of a common neighbour (as pairs of blocks where a unit is large) with
-bitmaps of their sets, which bound what two sets differ in from below; a unit splits into the groups that the bound
-leaves together. 6. Texts of such groups are sent there, and links within are verified exactly, unless the two are
-linked already; a group emits a spanning forest of its links. 7. Connected components of the links.
+the first of them. 5. Candidates go to the unit of a common neighbour with bitmaps of their sets, which bound what
+two sets differ in from below; a unit splits into the groups that the bound leaves together. 6. Texts of such groups
+are sent there, and links within are verified exactly, unless the two are linked already; a group emits a spanning
+forest of its links. 7. A neighbourhood that is too large for a unit is dealt into blocks, and ``PIVOTS`` of its
+members go to each block; so one that is a family of near copies becomes one component. What is not in its largest
+component then meets all others of the neighbourhood, in pairs of blocks. 8. Connected components of the links.
 
 Scale: shuffles hold the prefixes (about a fifth of all shingles), then the texts of candidates only. No group is
-collected: posting lists are streamed, units are bounded (``UNIT_DOCS``; larger ones go as pairs of blocks).
+collected: posting lists are streamed, and units are bounded (``UNIT_DOCS``). The work for a large family of near copies
+grows with its size; pairs of blocks are left to the members that are outside its largest component.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperweave.llm import textkernel
@@ -37,7 +40,7 @@ from hyperweave.llm.components import components
 
 PER_CENT = 80
 BLOCK_FLOOR, FREQUENT_FLOOR, FREQUENT_MAX = 4, 16, 1 << 18
-LIST_PAIRS, UNIT_DOCS = 32, 2048
+LIST_PAIRS, UNIT_DOCS, PIVOTS = 32, 2048, 16
 VERIFY_COST, CHANCE_HITS = 4.0, 0.1
 FILTER_BITS = 1 << 24
 U = np.uint64
@@ -196,13 +199,21 @@ class Forest:
         a, b = self.find(a), self.find(b)
         self.up[max(a, b)] = min(a, b)
 
-    def stars(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(smallest id of the tree, id) for each other id of each tree of two ids or more."""
+    def join_alike(self, known: np.ndarray) -> None:
+        """Join those of the same known component."""
+        first: dict[int, int] = {}
+        for i, c in enumerate(known.tolist()):
+            self.join(first.setdefault(c, i), i)
+
+    def stars(self, ids: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+        """(smallest id of the tree, id) for each other id of each tree that is more than one known component."""
         roots = [self.find(i) for i in range(len(ids))]
         least: dict[int, int] = {}
-        for r, x in zip(roots, ids.tolist()):
+        within: dict[int, set[int]] = {}
+        for r, x, c in zip(roots, ids.tolist(), known.tolist()):
             least[r] = min(least.get(r, x), x)
-        return sorted({(least[r], x) for r, x in zip(roots, ids.tolist()) if least[r] != x})
+            within.setdefault(r, set()).add(c)
+        return sorted({(least[r], x) for r, x in zip(roots, ids.tolist()) if least[r] != x and len(within[r]) > 1})
 
 
 def near_pairs(sizes: np.ndarray, bits: list[np.ndarray], forest: Forest) -> Iterator[tuple[int, int]]:
@@ -228,42 +239,93 @@ def near_pairs(sizes: np.ndarray, bits: list[np.ndarray], forest: Forest) -> Ite
                 yield i, j
 
 
-def groups_within(ids: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray]) -> list[tuple[int, int]]:
-    """What the bitmaps leave together, as (smallest id of the group, other id)."""
+def groups_within(ids: np.ndarray, known: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray]) -> list[tuple[int, int]]:
+    """What the bitmaps leave together, beyond known components, as (smallest id of the group, other id)."""
     order = np.lexsort((ids, sizes))
     forest = Forest(len(ids))
+    forest.join_alike(known[order])
     for i, j in near_pairs(sizes[order], [bits[i] for i in order], forest):
         forest.join(i, j)
-    return forest.stars(ids[order])
+    return forest.stars(ids[order], known[order])
 
 
-def links_within(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets, as (smallest id of the tree, id)."""
-    order = sorted((i for i in range(len(ids)) if len(sets[i])), key=lambda i: (len(sets[i]), ids[i]))
-    ids, sets = ids[order], [sets[i] for i in order]
+def links_within(ids: np.ndarray, known: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets and of known components, as (smallest id of the tree, id)."""
+    order = np.array(sorted((i for i in range(len(ids)) if len(sets[i])), key=lambda i: (len(sets[i]), ids[i])), np.int64)
+    ids, known, sets = ids[order], known[order], [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets], np.int64)
     forest = Forest(len(ids))
+    forest.join_alike(known)
     for i, j in near_pairs(sizes, [bitmap(s) for s in sets], forest):
         at = np.minimum(np.searchsorted(sets[j], sets[i]), sizes[j] - 1)
         both = int((sets[j][at] == sets[i]).sum())
         if 100 * both >= PER_CENT * (sizes[i] + sizes[j] - both):
             forest.join(i, j)
-    return forest.stars(ids)
+    return forest.stars(ids, known)
 
 
-def _units(met: DataFrame) -> DataFrame:
-    """(unit, doc_id): which texts are verified together. Every candidate pair is in one unit at least."""
+def _members(met: DataFrame) -> DataFrame:
+    """(near, doc_id): neighbourhoods. Every candidate pair is in one at least."""
     pairs = met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
     pairs = materialise(pairs, "candidates")
     towards = pairs.groupBy("b").agg(F.min("a").alias("near")).withColumnRenamed("b", "a")
     around = pairs.join(towards, "a", "left").select(F.coalesce("near", "a").alias("near"), "a", "b")
     # long lists of one group of documents mostly begin with the same document, and fall together under it
     members = around.select("near", F.explode(F.array("a", "b")).alias("doc_id")).unionAll(met.where("kind = 1").select("a", "b"))
-    members = materialise(members.distinct(), "members")
-    wide = members.groupBy("near").count().where(F.col("count") > UNIT_DOCS).select("near", F.ceil(F.col("count") / (UNIT_DOCS // 2)).cast("int").alias("blocks"))
-    own = members.join(wide, "near", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = own.select("near", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return dealt.select(F.xxhash64("near", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "doc_id")
+    return materialise(members.distinct(), "members")
+
+
+def _blocks(n: str) -> Column:
+    return F.ceil(F.col(n) / (UNIT_DOCS // 2)).cast("int")
+
+
+def _dealt(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+
+
+def _units(members: DataFrame, wide: DataFrame) -> DataFrame:
+    """(unit, doc_id, known): neighbourhoods, or blocks of ``wide(near, blocks)`` ones along with pivots of all blocks."""
+    own = members.join(wide, "near", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", _dealt(F.col("blocks")))
+    pivots = own.where((F.col("blocks") > 1) & (F.col("own") < PIVOTS)).groupBy("near", "blocks", "own").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("doc_id"))
+    pivots = pivots.select("near", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("own <> other")
+    placed = own.select("near", "doc_id", "own").unionAll(pivots.select("near", "doc_id", "other"))
+    return placed.select(F.xxhash64("near", "own").alias("unit"), "doc_id", F.col("doc_id").alias("known"))
+
+
+def _units_of_rest(members: DataFrame, wide: DataFrame, links: DataFrame) -> DataFrame:
+    """(unit, doc_id, known) of what the links leave outside the largest component of its wide neighbourhood, in pairs of
+    blocks with all others of it."""
+    known = components(links).withColumnRenamed("node", "doc_id")
+    inside = members.join(wide.select("near"), "near").join(known, "doc_id", "left").select("near", "doc_id", F.coalesce("component", "doc_id").alias("known"))
+    inside = materialise(inside, "inside")
+    sizes = inside.groupBy("near", "known").count().groupBy("near").agg(F.max_by("known", F.struct("count", "known")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"))
+    sizes = sizes.where("n > n_main").withColumn("n_rest", F.col("n") - F.col("n_main")).select("near", "main", _blocks("n_main").alias("mains"), _blocks("n_rest").alias("rests"))
+    is_main = F.col("known") == F.col("main")
+    own = inside.join(sizes, "near").withColumn("own", F.when(is_main, F.col("rests") + _dealt(F.col("mains"))).otherwise(_dealt(F.col("rests"))))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1)))
+    return dealt.select(F.xxhash64("near", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "doc_id", "known")
+
+
+def _links(units: DataFrame, full: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links within ``units(unit, doc_id, known)`` that connect different known components."""
+
+    def split(rows: pa.Table) -> pa.Table:
+        unit = rows["unit"][0].as_py()
+        ids, known = rows["doc_id"].to_numpy(), rows["known"].to_numpy()
+        found = groups_within(ids, known, rows["n_shingles"].to_numpy(), [np.frombuffer(b, U) for b in rows["bits"].to_pylist()])
+        both, component = sorted({(a, x) for a, b in found for x in (a, b)}), dict(zip(ids.tolist(), known.tolist()))
+        columns = [[unit] * len(both), [a for a, _ in both], [x for _, x in both], [component[x] for _, x in both]]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("unit", "first", "doc_id", "known"), columns)})
+
+    bounded = units.join(full.select("doc_id", "n_shingles", "bits"), "doc_id").groupBy("unit").applyInArrow(split, "unit long, first long, doc_id long, known long")
+    groups = materialise(bounded.select(F.xxhash64("unit", "first").alias("unit"), "doc_id", "known"), "groups")
+    texts = _wanted_texts(docs.where("doc_id IS NOT NULL"), groups).join(groups, "doc_id")
+
+    def verify(rows: pa.Table) -> pa.Table:
+        found = links_within(rows["doc_id"].to_numpy(), rows["known"].to_numpy(), list(textkernel.shingle_sets(rows["text"].combine_chunks())))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return materialise(texts.groupBy("unit").applyInArrow(verify, "a long, b long"), "links")
 
 
 def _wanted_texts(docs: DataFrame, units: DataFrame) -> DataFrame:
@@ -292,23 +354,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = full.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep"), "matches", "prefix").join(classes, ["d1", "d2", "n_shingles", "rep"])
     postings = reps.select(F.explode("prefix").alias("shingle"), "rep", F.col("n_shingles").cast("int").alias("size"), "matches")
     met = postings.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle", "rep").mapInArrow(meet, "kind byte, a long, b long, need int")
-    units = _units(materialise(met, "met"))
-
-    def split(rows: pa.Table) -> pa.Table:
-        unit = rows["unit"][0].as_py()
-        found = groups_within(rows["doc_id"].to_numpy(), rows["n_shingles"].to_numpy(), [np.frombuffer(b, U) for b in rows["bits"].to_pylist()])
-        both = sorted({(a, x) for a, b in found for x in (a, b)})
-        return pa.table({"unit": pa.array([unit] * len(both), pa.int64()), "first": pa.array([a for a, _ in both], pa.int64()), "doc_id": pa.array([x for _, x in both], pa.int64())})
-
-    bounded = units.join(full.select("doc_id", "n_shingles", "bits"), "doc_id").groupBy("unit").applyInArrow(split, "unit long, first long, doc_id long")
-    units = materialise(bounded.select(F.xxhash64("unit", "first").alias("unit"), "doc_id"), "units")
-    texts = _wanted_texts(docs.where("doc_id IS NOT NULL"), units).join(units, "doc_id")
-
-    def verify(rows: pa.Table) -> pa.Table:
-        found = links_within(rows["doc_id"].to_numpy(), list(textkernel.shingle_sets(rows["text"].combine_chunks())))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    links = texts.groupBy("unit").applyInArrow(verify, "a long, b long")
+    members = _members(materialise(met, "met"))
+    wide = members.groupBy("near").count().where(F.col("count") > UNIT_DOCS).select("near", _blocks("count").alias("blocks"))
+    wide = materialise(wide, "wide")
+    links = _links(_units(members, wide), full, docs)
+    if not wide.isEmpty():
+        links = links.unionAll(_links(_units_of_rest(members, wide, links), full, docs))
     joined = components(links).select(F.col("node").alias("rep"), "component")
     out = table1.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left").join(joined, "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))

@@ -111,7 +111,10 @@ def test_mixing_edges(spark, odd):
     assert mixing.mix_sources(odd.limit(0), {"src0": 1.0}, 1.0).count() == 0
 
 
-def test_jaccard_by_brute_force(spark, odd):
+@pytest.mark.parametrize("unit_docs, pivots", [(2048, 16), (32, 2), (32, 0)])  # small: large families go by blocks
+def test_jaccard_by_brute_force(spark, odd, monkeypatch, unit_docs, pivots):
+    monkeypatch.setattr(jaccard_join, "UNIT_DOCS", unit_docs)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     rng = random.Random(5)
     words = [f"t{i}" for i in range(400)]
     texts = []
