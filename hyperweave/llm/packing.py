@@ -198,7 +198,7 @@ def _sequence_ids() -> Iterator[int]:
 class WordTokens(dict):
     """Token ids, as little-endian unsigned 32-bit bytes, of texts under a vocabulary that ends words at white space.
 
-    Words between spaces and newlines are encoded once and kept, up to ``CACHE_WORDS``; a text's ids are the join of
+    Words between spaces and newlines are encoded once and kept, up to ``CACHE_WORDS``, within one task; a text's ids are the join of
     its words' ids.
     """
 
@@ -233,10 +233,13 @@ class WordTokens(dict):
             self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self[b""] = b""
+
     def encode(self, text: bytes) -> bytes:
         if len(self) > CACHE_WORDS:
-            self.clear()
-            self[b""] = b""
+            self.forget()
         # ASCII letters may be lower-cased first, as the vocabulary does; not beside combining marks, which
         # are composed before that.
         if b"\xcc" not in text and b"\xcd" not in text:
@@ -299,6 +302,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
             if done:
                 yield rows(done)
         yield rows(packer.finish())
+        words.forget()  # the process goes on to other stages
 
     took = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return took.mapInArrow(pack, PIECES)
