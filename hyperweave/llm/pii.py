@@ -283,12 +283,13 @@ def redact_documents(docs: DataFrame, model: Boosted | None = None, *, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(where)
-            texts = column.to_pylist()
-            kept = [t or "" for t in texts]
-            found = [x for at in range(0, len(kept), 256) for x in find_spans(kept[at : at + 256], model)]
-            new = [t if t is None else redact(t, spans) for t, (_, spans) in zip(texts, found)]
-            yield batch.set_column(where, batch.schema.field(where), pa.array(new, column.type))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                column = part.column(where)
+                texts = column.to_pylist()
+                found = find_spans([t or "" for t in texts], model)
+                new = [t if t is None else redact(t, spans) for t, (_, spans) in zip(texts, found)]
+                yield part.set_column(where, part.schema.field(where), pa.array(new, column.type))
 
     return docs.mapInArrow(run, docs.schema)
 
