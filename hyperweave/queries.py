@@ -98,6 +98,12 @@ def q_eigengap(s, d):
     return gaps.orderBy(F.desc("gap"), "k").limit(1).select("k", r6("gap"))
 
 
+def q_eigengap_whole(s, d):
+    """The gap over the whole supplier series; ``eigengap`` stays at the 50 rows its SQL has."""
+    found = spectral.largest_gap_of(tables.table(s, d, "supplier").select("s_acctbal"))
+    return s.createDataFrame([found] if found else [], "k long, gap double").select("k", r6("gap"))
+
+
 def q_row_normalize(s, d):
     x = tables.features(s, d)
     norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, v: a + v * v))
@@ -169,6 +175,7 @@ QUERIES = {
     "supra_laplacian_coo": lambda s, d: supra(s, d).select("i", "j", r6("val")),
     "supra_matvec": q_supra_matvec,
     "eigengap": q_eigengap,
+    "eigengap_whole": q_eigengap_whole,
     "row_normalize": q_row_normalize,
     "silhouette_by_label": lambda s, d: knn.silhouettes(tables.features(s, d)).select("v", "cluster", r6("s")),
     "bin_sizes": lambda s, d: sinks.bin_sizes(labels_of_parts(s, d)),
@@ -262,6 +269,7 @@ SQL = {
     "supra_laplacian_coo": _SUPRA + f"SELECT i, j, {_r('val')} AS val FROM supra",
     "supra_matvec": _SUPRA + f"SELECT i, {_r('sum(val * (j % 7 + 1))')} AS y FROM supra GROUP BY i",
     "eigengap": f"WITH s AS (SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_suppkey LIMIT 50), o AS (SELECT row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS k, s_acctbal AS val FROM s), g AS (SELECT k, lead(val) OVER (ORDER BY k) - val AS gap FROM o) SELECT k, {_r('gap')} AS gap FROM g WHERE gap IS NOT NULL ORDER BY g.gap DESC, k LIMIT 1",
+    "eigengap_whole": f"WITH o AS (SELECT row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS k, s_acctbal AS val FROM supplier WHERE s_acctbal IS NOT NULL), g AS (SELECT k, lead(val) OVER (ORDER BY k) - val AS gap FROM o) SELECT k, {_r('gap')} AS gap FROM g WHERE gap IS NOT NULL ORDER BY g.gap DESC, k LIMIT 1",
     "row_normalize": f"WITH f AS (SELECT vec_id AS v, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) SELECT v, pos, {_r('CASE WHEN list_dot_product(x, x) > 0 THEN x[pos + 1] / sqrt(list_dot_product(x, x)) ELSE 0e0 END')} AS val FROM f, LATERAL (SELECT unnest(range(0, len(x))) AS pos)",
     "silhouette_by_label": _with(_KNN, f""", d AS (SELECT a.v, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x)) AS t, count(*) AS n FROM f a, f b GROUP BY 1, 2, 3),
  q AS (SELECT v, own, max(CASE WHEN own = other THEN n END) AS n, max(CASE WHEN own = other THEN t END) AS t, min(CASE WHEN own <> other THEN t / n END) AS b FROM d GROUP BY v, own)
