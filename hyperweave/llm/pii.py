@@ -5,9 +5,10 @@ further spans, which may overlap one another and the base's: numbers in groups,
 numbers after words that announce them. Trees boosted on format and context features score each; a threshold
 calibrated on held-out candidates of the sample selects those that are added, best first, where they touch no other.
 
-There are no labels for such spans, so the trees learn from the base patterns: on a bounded sample of documents, a
-candidate that overlaps a valid base span is positive, any other is negative; features don't tell which pattern
-proposed it.
+There are no labels for such spans, so the trees learn from base spans made over, in their own context, into what base
+patterns do not match: on a bounded sample of documents, a candidate that is exactly a span without its '+', '@' or
+separators, or a number after a cue word, is positive; one that is only part of it, or of a date, amount or running
+number put in its place, is negative. Candidates that documents hold themselves have no label and are left out.
 
 Scale: fitted on the sample; then one narrow stage reads every whole text. All scans are linear in the text's length.
 """
@@ -15,6 +16,7 @@ Scale: fitted on the sample; then one narrow stage reads every whole text. All s
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,9 +41,11 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]*[0-9]")
 # Generators of further candidates; each is linear.
-_GROUPS = re.compile(r"\(?[0-9]{2,}+[\x20().0-9/-]*[0-9]")
-_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]? ?(?:at|AT)(?: ?[\])])? ?[A-Za-z0-9-]{1,64}+ ?[\[(]? ?(?:dot|DOT)(?: ?[\])])? ?[A-Za-z]{2,24}+")
-_CUE = re.compile(r"(?i:phone|tel|call|mobile|fax|card|account|iban|ssn|mail|contact|ip|address)")
+_GROUPS = re.compile(r"\(?[0-9][\x20().0-9/-]*[0-9]")
+_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]? ?(?:at|AT)(?: ?[\])])? ?[A-Za-z0-9-]{1,64}+(?: ?[\[(]? ?(?:dot|DOT)(?: ?[\])])? ?[A-Za-z]{2,24}+)+")
+_CUE = re.compile(r"(?i)(?<![a-z])(?:(?:tele)?phone|tel|call|mobile|cell|fax|card|account|acct|iban|ssn|passport|e?-?mail|contact|ip|address|id)(?:e?s)?(?![a-z])")
+CUE_REACH, WINDOW = 24, 5
+TLDS = frozenset("com org net edu gov info io co uk de fr es it nl eu us ca au ch at be pl se no".split())
 _DIGIT = re.compile("[0-9]")
 
 Span = tuple[str, int, int]
@@ -94,32 +98,52 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _windows(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Numbers inside a run: up to ``WINDOW`` groups in a row, at most two characters apart, of 7 to 19 digits."""
+    groups = [m.span() for m in re.compile("[0-9]+").finditer(text, start, end)]
+    for i, (a, _) in enumerate(groups):
+        a -= a > start and text[a - 1] == "("
+        digits = 0
+        for j in range(i, min(i + WINDOW, len(groups))):
+            if j > i and groups[j][0] - groups[j - 1][1] > 2:
+                break
+            digits += groups[j][1] - groups[j][0]
+            if digits > 19:
+                break
+            if digits >= 7:
+                yield a, groups[j][1]
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans that may be personal data, base ones not among them; they may overlap."""
     out = set()
     if _DIGIT.search(text):
         for m in _GROUPS.finditer(text):
             if sum(c.isdigit() for c in m[0]) >= 7:
-                out.add((m.start(), m.end()))
-                inner = _CARD.search(text, m.start(), m.end())
-                if inner:
-                    out.add(inner.span())
+                out.add(m.span())
+                out.update(_windows(text, *m.span()))
+        for cue in _CUE.finditer(text):
+            at = _DIGIT.search(text, cue.end(), cue.end() + CUE_REACH)
+            m = _GROUPS.match(text, at.start() - (text[at.start() - 1] == "(")) if at else None
+            if m:
+                out.add(m.span())
     low = text if ("dot" in text or "DOT" in text) else ""
     if low:
         out.update(m.span() for m in _SPELT.finditer(text))
     return sorted(out)
 
 
-NAMES = ("chars", "digits", "groups", "longest_group", "dots", "dashes", "spaces", "parentheses", "letters", "plus_before", "luhn", "cue_before", "letter_touches", "at_sign", "first_digit")
+NAMES = ("chars", "digits", "groups", "longest_group", "dots", "dashes", "spaces", "parentheses", "letters", "plus_before", "luhn", "cue_before", "letter_touches", "at_sign", "first_digit", "slashes", "first_group", "last_group", "digit_touches", "tld")
 
 
 def features(text: str, start: int, end: int) -> list[float]:
     s = text[start:end]
     digits = "".join(c for c in s if "0" <= c <= "9")
     groups = re.findall("[0-9]+", s)
-    before = text[max(0, start - 24) : start]
+    before = text[max(0, start - CUE_REACH - 8) : start]
+    last = re.search("[A-Za-z]*$", s)[0].lower()
     near = text[max(0, start - 1) : start] + text[end : end + 1]
-    return [len(s), len(digits), len(groups), max(map(len, groups), default=0), s.count("."), s.count("-"), s.count(" "), s.count("(") + s.count(")"), sum(c.isalpha() for c in s), before[-1:] == "+", 13 <= len(digits) <= 19 and luhn(digits), _CUE.search(before) is not None, any(c.isalpha() for c in near), "@" in s, int(digits[0]) if digits else -1]
+    return [len(s), len(digits), len(groups), max(map(len, groups), default=0), s.count("."), s.count("-"), s.count(" "), s.count("(") + s.count(")"), sum(c.isalpha() for c in s), before[-1:] == "+", 13 <= len(digits) <= 19 and luhn(digits), _CUE.search(before) is not None, any(c.isalpha() for c in near), "@" in s, int(digits[0]) if digits else -1, s.count("/"), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, any(c.isdigit() for c in text[max(0, start - 3) : start] + text[end : end + 3]), last in TLDS]
 
 
 @dataclass
@@ -199,9 +223,58 @@ def _overlap(a: int, b: int, spans: list[Span]) -> bool:
     return any(a < e and s < b for _, s, e in spans)
 
 
+def made_over(kind: str, span: str, rng: random.Random) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(positives, negatives) as (words before, text): a base span in forms that base patterns miss, and what is no personal data."""
+    d = "".join(c for c in span if "0" <= c <= "9")
+    cue = lambda: rng.choice(("phone", "Tel", "call", "mobile", "fax", "account", "acct", "ssn", "contact", "id")) + rng.choice((" ", ": ", " no. ", " is ", " #"))
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    date = rng.choice(("{0}-{1:02}-{2:02}", "{2:02}.{1:02}.{0}", "{1:02}/{2:02}/{0}", "{0}-{1:02}-{2:02} {3:02}")).format(rng.randint(1900, 2040), rng.randint(1, 12), rng.randint(1, 28), rng.randint(0, 23))
+    amount = rng.choice((f"{rng.randint(1, 99)}.{n(rng.randint(6, 9))}", f"{rng.randint(1, 9)} {n(3)} {n(3)}", f"{rng.randint(1, 999)}.{n(3)}.{n(3)}", f"{n(3)} {n(3)} {n(3)}.{n(2)}"))
+    bad = [("", date), ("", amount), ("", rng.choice("123456789") + n(rng.randint(6, 11))), (cue(), date), (cue(), n(2)), ("", f"{rng.choice(('look', 'look2', 'page.4'))} at {rng.choice(('the', 'a', 'line3'))} dot {rng.choice(('here', 'on', 'above', 'that'))}")]
+    if kind == "email":
+        name, host = span.split("@", 1)
+        signs = ((" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" AT ", " DOT "))
+        bare = re.sub("[0-9]", "", name) or "a", re.sub("[0-9]", "", ".".join(host.split(".")[-2:]))  # names without digits, of two labels
+        return [("", x + at + y.replace(".", dot)) for at, dot in signs for x, y in ((name, host), bare) if ".." not in f".{y}."], bad
+    if kind == "card":
+        fours = [d[i : i + 4] for i in range(0, len(d), 4)]
+        wrong = d[:-1] + str((int(d[-1]) + rng.randint(1, 9)) % 10)
+        bad += [("", wrong), ("", f"{wrong[:4]} {wrong[4:8]} {wrong[8:12]} {wrong[12:]}")]
+        good = [("", ".".join(fours)), ("", "/".join(fours)), ("", f"{d} {d}"), (cue(), wrong)]
+    elif kind == "ip":
+        good = [(rng.choice(("ip ", "IP: ", "ip address ")), span.replace(".", "-"))]
+    else:
+        t = d[-10:].rjust(10, "2")
+        good = [("", f"({t[:3]}) {t[3:6]}-{t[6:]}"), ("", f"{t[:3]}-{t[3:6]}-{t[6:]}"), ("", f"{t[:3]}.{t[3:6]}.{t[6:]}"), ("", f"{t[:3]} {t[3:6]} {t[6:]}"), (cue(), d), (cue(), f"{t[:3]}-{t[3:7]}")]
+        if not span[1:].isdigit():
+            good.append(("", span[1:]))
+    e = (d * 9)[:12]
+    return [*good, ("", f"{e[:3]}-{e[3:5]}-{e[5:9]}"), (cue(), e[: rng.randint(4, 6)]), (cue(), f"{e[:4]} {e[4:8]} {e[8:]}")], bad
+
+
+def examples(text: str) -> Iterator[tuple[list[float], bool]]:
+    """(features, label) of candidates in each base span's place; three positive and three negative forms of each."""
+    for kind, a, b in base_spans(text):
+        rng = random.Random(f"{kind}{text[a:b]}")
+        good, bad = made_over(kind, text[a:b], rng)
+        left, right = _CUE.sub("word", text[max(0, a - 64) : a]), text[b : b + 64]
+        for label, forms in ((True, rng.sample(good, min(3, len(good)))), (False, rng.sample(bad, 3))):
+            for cue, form in forms:
+                tail = f" {rng.randint(1, 99_999_999)}" if label and rng.random() < 0.2 else ""  # another number that follows is no part
+                made = left + cue + form + tail + right
+                begin, end = len(left + cue), len(left + cue + form)
+                exact = {(begin, end)}
+                if kind == "card" and label and form == f"{form[: len(form) // 2]} {form[: len(form) // 2]}":
+                    exact = {(begin, begin + len(form) // 2), (end - len(form) // 2, end)}
+                base = base_spans(made)
+                for s, e in candidates(made):
+                    if s < end and begin < e and not _overlap(s, e, base):
+                        yield features(made, s, e), label and (s, e) in exact
+
+
 def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Boosted:
-    """From at most ``SAMPLE_DOCS`` documents with a digit or a spelt-out dot, those with the smallest hashes of ids."""
-    some = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.col("text").rlike("[0-9]{2}|dot"))
+    """From at most ``SAMPLE_DOCS`` documents with two digits or an at sign, those with the smallest hashes of ids."""
+    some = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.col("text").rlike("[0-9]{2}|@"))
     keys = some.select(F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
     last = keys.agg(F.max("h")).first()[0]
     if last is None:
@@ -211,11 +284,9 @@ def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Bo
         for batch in batches:
             xs, ys, hs = [], [], []
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                base = base_spans(text)
-                for a, b in candidates(text):
-                    xs.append(features(text, a, b))
-                    ys.append(_overlap(a, b, base))
+                for x, y in examples(text.as_py()):
+                    xs.append(x)
+                    ys.append(y)
                     hs.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array([[float(v) for v in x] for x in xs], pa.list_(pa.float64())), pa.array(ys, pa.bool_())], names=["h", "x", "y"])
 
@@ -233,7 +304,7 @@ def find_spans(texts: list[str], model: Boosted) -> list[tuple[list[Span], list[
     added: list[list[Span]] = [[] for _ in texts]
     if flat and model.threshold <= 1:
         score = model.score(np.array([features(texts[i], a, b) for i, a, b in flat], float))
-        for k in np.lexsort(([c[2] for c in flat], [c[1] for c in flat], -score)):
+        for k in np.lexsort(([-c[2] for c in flat], [c[1] for c in flat], -score)):
             i, a, b = flat[k]
             if score[k] >= model.threshold and not _overlap(a, b, added[i]):
                 added[i].append(("other", a, b))

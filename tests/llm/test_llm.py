@@ -277,3 +277,21 @@ def test_pipeline_stages_by_their_own_input(spark):
     mixed = common.materialise(corpus_pipeline.mixing_weights(spark, clean, d), "t")
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in clean.collect()}
     check_packing(corpus_pipeline.pack(spark, mixed, d).collect(), mixed)
+
+
+def test_pii_adds_what_base_patterns_miss(spark):
+    rng = random.Random(5)
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    kinds = [lambda i: f"+{n(2)} {n(3)} {n(3)} {n(3)}", lambda i: f"ann{i}.x@mail{i}.org", lambda i: "4111 1111 1111 1111", lambda i: "4465758382889437", lambda i: f"10.{i % 200}.7.12"]
+    docs = spark.createDataFrame([(i, f"words before {kinds[i % 5](i)} and words after") for i in range(600)], "doc_id long, text string")
+    model = pii.learn(docs)
+    assert model.trees and model.threshold <= 1
+    private = ["call (415) 555-1234 today", "phone (415) 555-1234 20240101", "write jane at example dot com now", "my ssn 123-45-6789 here", "account: 12345 is open", "a 4465758382889437 4465758382889437 b"]
+    other = ["on 2024-01-15 10:30 we", "pi is 3.14159265 ok", "look at the dot here", "run 12345678 done"]
+    wanted = [["(415) 555-1234"], ["(415) 555-1234"], ["jane at example dot com"], ["123-45-6789"], ["12345"], ["4465758382889437"] * 2]
+    found = [[t[a:b] for _, a, b in spans] for t, (_, spans) in zip(private + other, pii.find_spans(private + other, model))]
+    assert found == [*wanted, [], [], [], []]
+    again = pii.learn(docs.repartition(3))
+    assert again == model
+    redacted = pii.redact_documents(docs.limit(1).selectExpr("doc_id", "'call (415) 555-1234' AS text"), model).first()
+    assert redacted.text == "call [other]"
