@@ -12,7 +12,8 @@ from hyperweave.operators import cluster, hyperedges, incidence, kmers, knn, spe
 from hyperweave.plans import pipelines
 from hyperweave.sources import sinks, tables
 
-FILTERS = Filters(mapq_min=20, segment_min_bases=500, min_segments_per_read=2, max_hyperedge_size=4)
+FILTERS = Filters(mapq_min=20, segment_min_bases=500, min_segments_per_read=2, max_hyperedge_size=4)  # the cap of 4 is to show truncation
+UNCAPPED = Filters(mapq_min=20, segment_min_bases=500, min_segments_per_read=2, max_hyperedge_size=20)
 MIN_SEQ, KNN, BETA = 200, 10, 0.5
 
 
@@ -33,9 +34,14 @@ def vertices(s: SparkSession, d: str) -> DataFrame:
     return tables.universe(s, d).select(F.col("idx").alias("v"))
 
 
-def contacts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def filters(whole: bool) -> Filters:
+    """``whole``: hyperedges with the cap of the reference method, 20."""
+    return UNCAPPED if whole else FILTERS
+
+
+def contacts(s: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(incidence, degrees)"""
-    inc = incidence.incidence(edges(s, d))
+    inc = incidence.incidence(edges(s, d, filters(whole)))
     return inc, incidence.vertex_degrees(inc, vertices(s, d))
 
 
@@ -48,12 +54,12 @@ def chem(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return inc, incidence.vertex_degrees(inc, tables.features(s, d).select("v"))
 
 
-def both_layers(s: SparkSession, d: str) -> tuple[tuple, tuple, int]:
+def both_layers(s: SparkSession, d: str, whole: bool = False) -> tuple[tuple, tuple, int]:
     """Contacts and composition over one universe: vertices 0 .. n-1 of the embeddings."""
     n = tables.features(s, d).count()
     v = s.range(n).select(F.col("id").alias("v"))
     folded = aln(s, d).withColumn("contig", F.col("contig") % n)
-    inc = incidence.incidence(hyperedges.hyperedges(folded, v.select(F.col("v").alias("idx"), F.col("v").alias("name")), FILTERS))
+    inc = incidence.incidence(hyperedges.hyperedges(folded, v.select(F.col("v").alias("idx"), F.col("v").alias("name")), filters(whole)))
     return (inc, incidence.vertex_degrees(inc, v)), chem(s, d), n
 
 
@@ -73,8 +79,8 @@ def bin_input(s: SparkSession, d: str) -> DataFrame:
     return sinks.assigned(seq, bins)
 
 
-def supra(s: SparkSession, d: str) -> DataFrame:
-    (pi, pd_), (ci, cd), n = both_layers(s, d)
+def supra(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    (pi, pd_), (ci, cd), n = both_layers(s, d, whole)
     return incidence.supra_laplacian(incidence.laplacian(pi, pd_), incidence.laplacian(ci, cd), s.range(n).select(F.col("id").alias("v")), n, BETA)
 
 
@@ -82,13 +88,13 @@ def x_of(v: str = "v"):
     return (F.col(v) % 7 + 1).cast("double")
 
 
-def q_matvec(s, d):
-    inc, deg = contacts(s, d)
+def q_matvec(s, d, whole=False):
+    inc, deg = contacts(s, d, whole)
     return incidence.matvec(inc, deg, vertices(s, d).select("v", x_of().alias("x"))).select("v", r6("y"))
 
 
-def q_supra_matvec(s, d):
-    return supra(s, d).withColumn("x", x_of("j")).groupBy("i").agg(F.sum(F.col("val") * F.col("x")).alias("y")).select("i", r6("y"))
+def q_supra_matvec(s, d, whole=False):
+    return supra(s, d, whole).withColumn("x", x_of("j")).groupBy("i").agg(F.sum(F.col("val") * F.col("x")).alias("y")).select("i", r6("y"))
 
 
 def q_eigengap(s, d):
@@ -117,13 +123,13 @@ def embedding_frame(s, values) -> DataFrame:
 
 
 def q_eigenvalues(s, d):
-    inc, deg = contacts(s, d)
+    inc, deg = contacts(s, d, whole=True)
     n = vertices(s, d).agg(F.max("v")).first()[0] + 1
     return embedding_frame(s, spectral.smallest(spectral.hyperedge_rows(inc, deg), n, 10)[0])
 
 
 def q_spectral_bins(s, d):
-    inc, deg = contacts(s, d)
+    inc, deg = contacts(s, d, whole=True)
     n = vertices(s, d).agg(F.max("v")).first()[0] + 1
     u = spectral.smallest(spectral.hyperedge_rows(inc, deg), n, 5)[1]
     return cluster.kmeans(cluster.frame(s, u), 5, n_init=2).select("v", "cluster")
@@ -136,7 +142,7 @@ def q_auto_k_bins(s, d):
 
 
 def q_multiplex_bins(s, d):
-    first, second, n = both_layers(s, d)
+    first, second, n = both_layers(s, d, whole=True)
     rows = spectral.multiplex_rows(spectral.hyperedge_rows(*first), spectral.hyperedge_rows(*second), n, BETA)
     u = spectral.smallest(rows, 2 * n, 6, shift=1 + 2 * BETA)[1]
     return cluster.kmeans(cluster.frame(s, spectral.fuse_layers(u)), 6, n_init=2).select("v", "cluster")
@@ -147,7 +153,18 @@ def self_test(s):
     return inc, incidence.vertex_degrees(inc, s.range(6).select(F.col("id").alias("v")))
 
 
-UNCAPPED = Filters(mapq_min=20, segment_min_bases=500, min_segments_per_read=2, max_hyperedge_size=20)
+# The whole job of queries whose SQL has the cap of 4; registered as ..._whole.
+WHOLE = {
+    "incidence": lambda s, d: incidence.incidence(edges(s, d, UNCAPPED)).select("edge_id", "v"),
+    "edge_degree": lambda s, d: incidence.edge_table(edges(s, d, UNCAPPED)).select("edge_id", r6("w"), "de"),
+    "vertex_degree": lambda s, d: contacts(s, d, True)[1].select("v", r6("dv")),
+    "hypergraph_stats": lambda s, d: incidence.stats(edges(s, d, UNCAPPED), contacts(s, d, True)[1]).select("n_vertices", "n_hyperedges", F.round("sum_w", 4).alias("sum_w"), r6("mean_degree_v")),
+    "laplacian_matvec": lambda s, d: q_matvec(s, d, True),
+    "laplacian_coo": lambda s, d: incidence.laplacian(*contacts(s, d, True)).select("i", "j", r6("val")),
+    "laplacian_diag": lambda s, d: incidence.laplacian(*contacts(s, d, True)).where("i = j").select("i", r6("val")),
+    "supra_laplacian_coo": lambda s, d: supra(s, d, True).select("i", "j", r6("val")),
+    "supra_matvec": lambda s, d: q_supra_matvec(s, d, True),
+}
 
 QUERIES = {
     "alignment_filter": lambda s, d: hyperedges.passing(aln(s, d), FILTERS),
@@ -190,6 +207,7 @@ QUERIES = {
     "spectral_bins": q_spectral_bins,
     "auto_k_bins": q_auto_k_bins,
     "multiplex_bins": q_multiplex_bins,
+    **{f"{name}_whole": query for name, query in WHOLE.items()},
 }
 
 # The same in SQL, by common table expressions that build on one another.
@@ -283,3 +301,4 @@ SQL = {
     "self_test_laplacian": _with(_SELF, _L, f" SELECT i, j, {_r('val')} AS val FROM l"),
     "self_test_bins": "SELECT 'c' || i AS contig, CASE WHEN i < 3 THEN 'bin_0' ELSE 'bin_1' END AS bin FROM range(6) AS t(i)",
 }
+SQL |= {f"{name}_whole": SQL[name].replace(_EDGES.format(cap=4), _EDGES.format(cap=20)) for name in WHOLE}

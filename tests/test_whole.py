@@ -18,3 +18,19 @@ def test_eigengap_takes_the_whole_series(spark):
     x.sort()
     assert k == spectral.largest_gap(x, 1, len(x) - 1) and np.isclose(gap, np.diff(x).max())
     assert Q.QUERIES["eigengap_whole"](spark, "/root/testdata/sf0.01").collect()[0].k == 53
+
+
+def test_hypergraph_queries_keep_members_beyond_the_fourth(spark):
+    d = "/root/testdata/sf0.001"
+    members = {r.edge_id: set(r.members) for r in Q.edges(spark, d, Q.UNCAPPED).collect()}
+    assert max(map(len, members.values())) > 4
+    assert {(r.edge_id, r.v) for r in Q.QUERIES["incidence_whole"](spark, d).collect()} == {(e, v) for e, some in members.items() for v in some}
+    assert all(Q.SQL[f"{name}_whole"] != Q.SQL[name] for name in Q.WHOLE)
+
+
+def test_bins_and_eigenvalues_take_whole_hyperedges(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q.hyperedges, "hyperedges", lambda a, c, f, real=Q.hyperedges.hyperedges: (seen.append(f.max_hyperedge_size), real(a, c, f))[1])
+    for name in ("eigenvalues", "spectral_bins", "multiplex_bins"):
+        Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [20, 20, 20]
