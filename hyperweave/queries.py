@@ -71,11 +71,11 @@ def labels_of_parts(s: SparkSession, d: str) -> DataFrame:
     return vertices(s, d).select("v", (F.col("v") % 7).alias("cluster"))
 
 
-def bin_input(s: SparkSession, d: str) -> DataFrame:
-    """Documents' sequences as contigs, bins named by source with characters that need replacing; one in five unassigned."""
+def bin_input(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Documents' sequences as contigs, bins named by source with characters that need replacing; one in five unassigned, unless ``whole``."""
     docs = tables.table(s, d, "documents").select("doc_id", "source")
     seq = tables.sequences(s, d).select(F.col("v").alias("idx"), F.concat(F.lit("ctg"), "v").alias("name"), F.concat(F.lit("ctg"), "v").alias("description"), "seq")
-    bins = docs.where("doc_id % 5 <> 0").select(F.concat(F.lit("ctg"), "doc_id").alias("contig"), F.concat(F.lit("bin/"), "source").alias("bin"))
+    bins = docs.where("true" if whole else "doc_id % 5 <> 0").select(F.concat(F.lit("ctg"), "doc_id").alias("contig"), F.concat(F.lit("bin/"), "source").alias("bin"))
     return sinks.assigned(seq, bins)
 
 
@@ -165,6 +165,11 @@ WHOLE = {
     "supra_laplacian_coo": lambda s, d: supra(s, d, True).select("i", "j", r6("val")),
     "supra_matvec": lambda s, d: q_supra_matvec(s, d, True),
 }
+# The same over all documents.
+WHOLE_BINS = {
+    "bin_stats": lambda s, d: sinks.bin_stats(bin_input(s, d, True)),
+    "export_records": lambda s, d: sinks.fasta_records(bin_input(s, d, True)),
+}
 
 QUERIES = {
     "alignment_filter": lambda s, d: hyperedges.passing(aln(s, d), FILTERS),
@@ -207,7 +212,7 @@ QUERIES = {
     "spectral_bins": q_spectral_bins,
     "auto_k_bins": q_auto_k_bins,
     "multiplex_bins": q_multiplex_bins,
-    **{f"{name}_whole": query for name, query in WHOLE.items()},
+    **{f"{name}_whole": query for name, query in {**WHOLE, **WHOLE_BINS}.items()},
 }
 
 # The same in SQL, by common table expressions that build on one another.
@@ -302,3 +307,4 @@ SQL = {
     "self_test_bins": "SELECT 'c' || i AS contig, CASE WHEN i < 3 THEN 'bin_0' ELSE 'bin_1' END AS bin FROM range(6) AS t(i)",
 }
 SQL |= {f"{name}_whole": SQL[name].replace(_EDGES.format(cap=4), _EDGES.format(cap=20)) for name in WHOLE}
+SQL |= {f"{name}_whole": SQL[name].replace(_BINS, _BINS.replace(" WHERE doc_id % 5 <> 0", "")) for name in WHOLE_BINS}

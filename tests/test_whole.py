@@ -34,3 +34,10 @@ def test_bins_and_eigenvalues_take_whole_hyperedges(spark, monkeypatch):
     for name in ("eigenvalues", "spectral_bins", "multiplex_bins"):
         Q.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == [20, 20, 20]
+
+
+def test_bins_take_all_documents(spark):
+    d = "/root/testdata/sf0.001"
+    ids = {r.doc_id for r in spark.read.parquet(f"{d}/documents.parquet").where("source IS NOT NULL").select("doc_id").collect()}
+    assert {r.idx for r in Q.QUERIES["export_records_whole"](spark, d).select("idx").collect()} == ids
+    assert sum(r.num_contigs for r in Q.QUERIES["bin_stats_whole"](spark, d).collect()) == len(ids)
