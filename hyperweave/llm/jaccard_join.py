@@ -13,7 +13,8 @@ Steps, each of whose tables is written to the shared folder:
 1. frequent shingles; 2. one row per document with its size, its set's digest and its prefix; 3. documents of equal
 sets become one class; 4. classes meet at the shingles of their prefixes. At a shingle with few classes, pairs are
 emitted, and those that met often enough are candidates; at one with many, no pairs are: the classes go to the unit of
-the first of them. 5. Candidates go to the unit of a common neighbour with bitmaps of their sets, which bound what
+the first of them. Shingles that ``HOT`` documents or more are known to hold meet nobody in one task: their first class
+is an aggregate that is joined back. 5. Candidates go to the unit of a common neighbour with bitmaps of their sets, which bound what
 two sets differ in from below; a unit splits into the groups that the bound leaves together. 6. Texts of such groups
 are sent there, and links within are verified exactly, unless the two are linked already; a group emits a spanning
 forest of its links. 7. A neighbourhood that is too large for a unit is dealt into blocks, and ``PIVOTS`` of its
@@ -21,7 +22,8 @@ members go to each block; so one that is a family of near copies becomes one com
 component then meets all others of the neighbourhood, in pairs of blocks. 8. Connected components of the links.
 
 Scale: shuffles hold the prefixes (about a fifth of all shingles), then the texts of candidates only. No group is
-collected: posting lists are streamed, and units are bounded (``UNIT_DOCS``). The work for a large family of near copies
+collected: posting lists are streamed, and units are bounded by documents and by shingles (``UNIT_DOCS``,
+``UNIT_SHINGLES``), so by bytes of text; one pair of longer texts is a unit. The work for a large family of near copies
 grows with its size; pairs of blocks are left to the members that are outside its largest component.
 """
 
@@ -35,12 +37,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperweave.llm import textkernel
-from hyperweave.llm.common import materialise, shuffle_partitions, table
+from hyperweave.llm.common import Scratch, parts, shuffle_partitions, table, trimmed
 from hyperweave.llm.components import components
 
 PER_CENT = 80
 BLOCK_FLOOR, FREQUENT_FLOOR, FREQUENT_MAX = 4, 16, 1 << 18
-LIST_PAIRS, UNIT_DOCS, PIVOTS = 32, 2048, 16
+LIST_PAIRS, UNIT_DOCS, UNIT_SHINGLES, PIVOTS, HOT = 32, 2048, 1 << 20, 16, 4096
 VERIFY_COST, CHANCE_HITS = 4.0, 0.1
 FILTER_BITS = 1 << 24
 U = np.uint64
@@ -60,24 +62,24 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for i, s in enumerate(textkernel.shingle_sets(texts)):
                 held.append(s)
                 size += len(s)
-                if size > 1 << 20 or i == len(texts) - 1:
+                if size > 1 << 19 or i == len(texts) - 1:
                     values, n = np.unique(np.concatenate(held), return_counts=True)
                     often = n >= BLOCK_FLOOR
                     yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["shingle", "n"])
                     held, size = [], 0
 
-    counted = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(trimmed(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.where(F.col("n") >= FREQUENT_FLOOR).orderBy(F.desc("n"), "shingle").limit(FREQUENT_MAX).toPandas()
     values = top["shingle"].to_numpy(np.int64).view(U)
     order = np.argsort(values)
     return values[order], top["n"].to_numpy(np.float64)[order]
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
-    """(l, prefix) of a sorted set: the first ``n - ceil(0.8 n) + l`` in the order of (frequency, hash)."""
+def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(l, prefix, which of it are hot) of a sorted set: the first ``n - ceil(0.8 n) + l`` in the order of (frequency, hash)."""
     n = len(s)
     if not n:
-        return 1, s
+        return 1, s, np.zeros(0, bool)
     base = n - -(-PER_CENT * n // 100)
     hits = np.full(n, CHANCE_HITS)
     if len(frequent):
@@ -90,7 +92,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[int
     matches = np.arange(1, max(1, min(base, n - base)) + 1)
     met = np.cumsum(hits)[base + matches - 1]
     best = int((base + matches + met + VERIFY_COST * met / matches).argmin()) + 1
-    return best, s[: base + best]
+    return best, s[: base + best].copy(), hits[: base + best] >= HOT
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -99,25 +101,30 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, n_often = shared.value
         for batch in batches:
-            sizes, firsts, seconds, matches, parts, maps = [], [], [], [], [], []
-            for s in textkernel.shingle_sets(batch.column(1)):
-                l, p = prefix(s, often, n_often)
-                sizes.append(len(s))
-                matches.append(l)
-                parts.append(p)
-                maps.append(bitmap(s).tobytes())
-                # the sum and the exclusive or of mixed members tell equal sets
-                firsts.append(int(textkernel.mix(s).sum(dtype=U)) if len(s) else 0)
-                seconds.append(int(np.bitwise_xor.reduce(textkernel.mix(s + U(0x9E3779B97F4A7C15)))) if len(s) else 0)
-            offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            flat = np.concatenate(parts) if parts else np.empty(0, U)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(firsts, U).view(np.int64)), pa.array(np.array(seconds, U).view(np.int64)),
-                pa.array(matches, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-                pa.array(maps, pa.binary()),
-            ], names=["doc_id", "n_shingles", "d1", "d2", "matches", "prefix", "bits"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, matches int, prefix array<long>, bits binary")
+            yield from (of_part(part, often, n_often) for part in parts(batch, 1))
+
+    def of_part(batch: pa.RecordBatch, often: np.ndarray, n_often: np.ndarray) -> pa.RecordBatch:
+        sizes, firsts, seconds, matches, cold, hot, maps = [], [], [], [], [], [], []
+        for s in textkernel.shingle_sets(batch.column(1)):
+            l, p, is_hot = prefix(s, often, n_often)
+            sizes.append(len(s))
+            matches.append(l)
+            cold.append(p[~is_hot])
+            hot.append(p[is_hot])
+            maps.append(bitmap(s).tobytes())
+            # the sum and the exclusive or of mixed members tell equal sets
+            firsts.append(int(textkernel.mix(s).sum(dtype=U)) if len(s) else 0)
+            seconds.append(int(np.bitwise_xor.reduce(textkernel.mix(s + U(0x9E3779B97F4A7C15)))) if len(s) else 0)
+
+        def lists(some: list[np.ndarray]) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]).astype(np.int32)), pa.array(np.concatenate([*some, np.empty(0, U)]).view(np.int64)))
+
+        return pa.RecordBatch.from_arrays([
+            batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(firsts, U).view(np.int64)), pa.array(np.array(seconds, U).view(np.int64)),
+            pa.array(matches, pa.int32()), lists(cold), lists(hot), pa.array(maps, pa.binary()),
+        ], names=["doc_id", "n_shingles", "d1", "d2", "matches", "prefix", "hot", "bits"])
+
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, d1 long, d2 long, matches int, prefix array<long>, hot array<long>, bits binary")
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,19 +271,27 @@ def links_within(ids: np.ndarray, known: np.ndarray, sets: list[np.ndarray]) ->
     return forest.stars(ids, known)
 
 
-def _members(met: DataFrame) -> DataFrame:
-    """(near, doc_id): neighbourhoods. Every candidate pair is in one at least."""
+def _members(met: DataFrame, hot: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(near, doc_id, size): neighbourhoods. Every candidate pair is in one at least."""
     pairs = met.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
-    pairs = materialise(pairs, "candidates")
+    pairs = scratch.write(pairs, "candidates")
     towards = pairs.groupBy("b").agg(F.min("a").alias("near")).withColumnRenamed("b", "a")
     around = pairs.join(towards, "a", "left").select(F.coalesce("near", "a").alias("near"), "a", "b")
     # long lists of one group of documents mostly begin with the same document, and fall together under it
-    members = around.select("near", F.explode(F.array("a", "b")).alias("doc_id")).unionAll(met.where("kind = 1").select("a", "b"))
-    return materialise(members.distinct(), "members")
+    members = around.select("near", F.explode(F.array("a", "b")).alias("doc_id")).unionAll(met.where("kind = 1").select("a", "b")).unionAll(hot)
+    return scratch.write(members.distinct().join(sizes, "doc_id").select("near", "doc_id", "size"), "members")
+
+
+def _hot_members(hot: DataFrame) -> DataFrame:
+    """(near, doc_id) of ``hot(shingle, rep)``: the first document of a shingle and each other. The firsts are rows for
+    frequent shingles, so bounded by ``FREQUENT_MAX``."""
+    first = hot.groupBy("shingle").agg(F.min("rep").alias("near"))
+    return hot.join(F.broadcast(first), "shingle").select("near", F.col("rep").alias("doc_id"))
 
 
-def _blocks(n: str) -> Column:
-    return F.ceil(F.col(n) / (UNIT_DOCS // 2)).cast("int")
+def _blocks(docs: str, size: str) -> Column:
+    """Blocks of half a unit."""
+    return F.ceil(F.greatest(F.col(docs) / (UNIT_DOCS // 2), F.col(size) / (UNIT_SHINGLES // 2))).cast("int")
 
 
 def _dealt(blocks: Column) -> Column:
@@ -292,21 +307,22 @@ def _units(members: DataFrame, wide: DataFrame) -> DataFrame:
     return placed.select(F.xxhash64("near", "own").alias("unit"), "doc_id", F.col("doc_id").alias("known"))
 
 
-def _units_of_rest(members: DataFrame, wide: DataFrame, links: DataFrame) -> DataFrame:
+def _units_of_rest(members: DataFrame, wide: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(unit, doc_id, known) of what the links leave outside the largest component of its wide neighbourhood, in pairs of
     blocks with all others of it."""
     known = components(links).withColumnRenamed("node", "doc_id")
-    inside = members.join(wide.select("near"), "near").join(known, "doc_id", "left").select("near", "doc_id", F.coalesce("component", "doc_id").alias("known"))
-    inside = materialise(inside, "inside")
-    sizes = inside.groupBy("near", "known").count().groupBy("near").agg(F.max_by("known", F.struct("count", "known")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"))
-    sizes = sizes.where("n > n_main").withColumn("n_rest", F.col("n") - F.col("n_main")).select("near", "main", _blocks("n_main").alias("mains"), _blocks("n_rest").alias("rests"))
+    inside = members.join(wide.select("near"), "near").join(known, "doc_id", "left").select("near", "doc_id", "size", F.coalesce("component", "doc_id").alias("known"))
+    inside = scratch.write(inside, "inside")
+    parts_of = inside.groupBy("near", "known").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sizes = parts_of.groupBy("near").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.max(F.struct("n", "known", "size"))["size"].alias("s_main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.sum("size").alias("s"))
+    sizes = sizes.where("n > n_main").withColumn("n_rest", F.col("n") - F.col("n_main")).withColumn("s_rest", F.col("s") - F.col("s_main")).select("near", "main", _blocks("n_main", "s_main").alias("mains"), _blocks("n_rest", "s_rest").alias("rests"))
     is_main = F.col("known") == F.col("main")
     own = inside.join(sizes, "near").withColumn("own", F.when(is_main, F.col("rests") + _dealt(F.col("mains"))).otherwise(_dealt(F.col("rests"))))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1)))
     return dealt.select(F.xxhash64("near", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "doc_id", "known")
 
 
-def _links(units: DataFrame, full: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(units: DataFrame, full: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): links within ``units(unit, doc_id, known)`` that connect different known components."""
 
     def split(rows: pa.Table) -> pa.Table:
@@ -318,14 +334,14 @@ def _links(units: DataFrame, full: DataFrame, docs: DataFrame) -> DataFrame:
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("unit", "first", "doc_id", "known"), columns)})
 
     bounded = units.join(full.select("doc_id", "n_shingles", "bits"), "doc_id").groupBy("unit").applyInArrow(split, "unit long, first long, doc_id long, known long")
-    groups = materialise(bounded.select(F.xxhash64("unit", "first").alias("unit"), "doc_id", "known"), "groups")
+    groups = scratch.write(bounded.select(F.xxhash64("unit", "first").alias("unit"), "doc_id", "known"), "groups")
     texts = _wanted_texts(docs.where("doc_id IS NOT NULL"), groups).join(groups, "doc_id")
 
     def verify(rows: pa.Table) -> pa.Table:
         found = links_within(rows["doc_id"].to_numpy(), rows["known"].to_numpy(), list(textkernel.shingle_sets(rows["text"].combine_chunks())))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return materialise(texts.groupBy("unit").applyInArrow(verify, "a long, b long"), "links")
+    return scratch.write(texts.groupBy("unit").applyInArrow(verify, "a long, b long"), "links")
 
 
 def _wanted_texts(docs: DataFrame, units: DataFrame) -> DataFrame:
@@ -348,19 +364,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     docs = _docs(docs, id_col, text_col)
-    table1 = materialise(_prefixes(docs, *frequent_shingles(docs)), "prefixes")
-    full = table1.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialise(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep"), "matches", "prefix").join(classes, ["d1", "d2", "n_shingles", "rep"])
-    postings = reps.select(F.explode("prefix").alias("shingle"), "rep", F.col("n_shingles").cast("int").alias("size"), "matches")
-    met = postings.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle", "rep").mapInArrow(meet, "kind byte, a long, b long, need int")
-    members = _members(materialise(met, "met"))
-    wide = members.groupBy("near").count().where(F.col("count") > UNIT_DOCS).select("near", _blocks("count").alias("blocks"))
-    wide = materialise(wide, "wide")
-    links = _links(_units(members, wide), full, docs)
-    if not wide.isEmpty():
-        links = links.unionAll(_links(_units_of_rest(members, wide, links), full, docs))
-    joined = components(links).select(F.col("node").alias("rep"), "component")
+    with Scratch(spark) as scratch:
+        table1 = scratch.write(_prefixes(docs, *frequent_shingles(docs)), "prefixes", keep=True)
+        full = table1.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        classes = scratch.write(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes", keep=True)
+        reps = full.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep"), "matches", "prefix", "hot").join(classes, ["d1", "d2", "n_shingles", "rep"])
+        reps = reps.select(F.col("rep"), F.col("n_shingles").cast("int").alias("size"), "matches", "prefix", "hot")
+        postings = reps.select(F.explode("prefix").alias("shingle"), "rep", "size", "matches")
+        met = postings.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle", "rep").mapInArrow(trimmed(meet), "kind byte, a long, b long, need int")
+        hot = _hot_members(reps.where(F.size("hot") > 0).select(F.explode("hot").alias("shingle"), "rep"))
+        sizes = full.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
+        members = _members(scratch.write(met, "met"), hot, sizes, scratch)
+        wide = members.groupBy("near").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where((F.col("n") > UNIT_DOCS) | (F.col("size") > UNIT_SHINGLES) & (F.col("n") > 2))
+        wide = scratch.write(wide.select("near", _blocks("n", "size").alias("blocks")), "wide")
+        links = _links(_units(members, wide), full, docs, scratch)
+        if not wide.isEmpty():
+            links = links.unionAll(_links(_units_of_rest(members, wide, links, scratch), full, docs, scratch))
+        joined = components(links).select(F.col("node").alias("rep"), "component")
     out = table1.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left").join(joined, "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 

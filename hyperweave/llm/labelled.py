@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperweave.llm import textkernel
+from hyperweave.llm.common import parts, trimmed
 
 MAX_LABELLED = 8_000
 
@@ -48,11 +49,12 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = textkernel.text_stats(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(stats[k]) for k in textkernel.STATS)], names=["doc_id", *textkernel.STATS])
+            for part in parts(batch, 1):
+                stats = textkernel.text_stats(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(stats[k]) for k in textkernel.STATS)], names=["doc_id", *textkernel.STATS])
 
     took = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return took.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in textkernel.STATS))
+    return took.mapInArrow(trimmed(run), "doc_id long, " + ", ".join(f"{k} long" for k in textkernel.STATS))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column | None = None, limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperweave.llm import textkernel
-from hyperweave.llm.common import free_name, table
+from hyperweave.llm.common import free_name, parts, table, trimmed
 from hyperweave.llm.labelled import feature_matrix, labelled_sample
 
 BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, L2 = 32, 8, 150, 60, 6, 0.1, 2.0
@@ -146,7 +146,8 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> Gam
 def add_score(docs: DataFrame, model: Gam, name: str = "score", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``docs`` (or only ``columns`` of it) with the score of each whole text; a null text is scored as an empty one.
 
-    No row is dropped; repeated rows stay; nulls in other columns stay. The name must be free in ``docs``.
+    No row is dropped; repeated rows stay; nulls in other columns stay. The name must be free in ``docs``. Very long
+    texts are read whole. An empty table gives an empty result.
     """
     columns = docs.columns if columns is None else columns
     text = free_name(docs, "__text")
@@ -154,11 +155,12 @@ def add_score(docs: DataFrame, model: Gam, name: str = "score", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.score(feature_matrix(textkernel.text_stats(batch.column(batch.num_columns - 1))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*columns, name])
+            for part in parts(batch, batch.num_columns - 1):
+                score = model.score(feature_matrix(textkernel.text_stats(part.column(part.num_columns - 1))))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[*columns, name])
 
     schema = took.select(*[F.col(f"`{c}`") for c in columns]).schema.add(name, "double")
-    return took.mapInArrow(run, schema)
+    return took.mapInArrow(trimmed(run), schema)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: Column | None = None) -> DataFrame:

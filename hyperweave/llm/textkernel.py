@@ -1,7 +1,9 @@
 """Vectorised text kernels over Arrow batches: bytes in, numpy arrays out, no Python per word.
 
-All of them work on the UTF-8 bytes of a block of whole texts. A block holds whole documents of about
-``BLOCK_BYTES`` together, or one longer document, so memory follows the longest text, not the batch.
+All of them work on the UTF-8 bytes of a block of whole texts. A block holds whole documents of about ``BLOCK_BYTES``
+together, or one longer document. Its bytes are scanned in chunks of ``CHUNK_BYTES`` with carry (a word or line may go
+over any number of chunks), so what is kept of a text are a few numbers for each of its words and lines: about ten
+times the text's size at most.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, CHUNK_BYTES = 1 << 20, 1 << 17
 SHINGLE_WORDS = 5
 
 _U = np.uint64
@@ -23,18 +25,17 @@ _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 3
-_POW = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
+_MASK = (1 << 64) - 1
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i in 0..n."""
-    if len(_POW["up"]) <= n:
-        m = max(n + 1, BLOCK_BYTES + 2)
-        for key, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(m, _U(b))
-            steps[0] = 1
-            _POW[key] = np.cumprod(steps, dtype=_U)
-    return _POW["up"], _POW["down"]
+def _powers(base: int) -> np.ndarray:
+    """base**i modulo 2**64 for i in 0..CHUNK_BYTES."""
+    steps = np.full(CHUNK_BYTES + 1, _U(base))
+    steps[0] = 1
+    return np.cumprod(steps, dtype=_U)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -60,30 +61,63 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = end
 
 
-def _segment_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each bytes[start:end], whatever its place."""
-    up, down = _powers(len(codes))
-    total = np.zeros(len(codes) + 1, _U)
-    np.cumsum(codes * up[: len(codes)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
-
-
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+``: (hash of each word, first word of each document, end included; space mask)."""
-    n = len(raw)
-    space = _SPACE[raw]
-    if not n:
-        return np.empty(0, _U), np.zeros(len(offsets), np.int64), space
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    solid = ~space
-    first = solid.copy()
-    first[1:] &= space[:-1] | edge[1:n]
-    last = solid.copy()
-    last[:-1] &= space[1:] | edge[1:n]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = _segment_hash((_BYTE_LOWER if lower else _BYTE)[raw], starts, ends)
-    return hashes, np.searchsorted(starts, offsets).astype(np.int64), space
+class Segments:
+    """Hashes of segments of bytes, whatever their place; their starts and ends come chunk by chunk, in order."""
+
+    def __init__(self):
+        self.at, self.total, self.up, self.down = 0, 0, 1, 1
+        self.starts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ends: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def feed(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """``sums``: of the chunk's codes times powers of the base, before each byte and after the last."""
+        n, total, up = len(sums) - 1, _U(self.total), _U(self.up)
+        self.starts.append((starts + self.at, sums[starts] * up + total, _DOWN[starts] * _U(self.down)))
+        self.ends.append((ends + self.at, sums[ends] * up + total))
+        self.total = (self.total + int(sums[n]) * self.up) & _MASK
+        self.up, self.down = self.up * int(_UP[n]) & _MASK, self.down * int(_DOWN[n]) & _MASK
+        self.at += n
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, hash) of each segment."""
+        if not self.starts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U)
+        begin, before, down = (np.concatenate(x) for x in zip(*self.starts))
+        end, after = (np.concatenate(x) for x in zip(*self.ends))
+        return begin, end, mix((after - before) * down + (end - begin).astype(_U))
+
+
+def _chunks(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, bytes, whether a text begins at each place and at the next chunk's first) of a block's chunks."""
+    for a in range(0, len(raw), CHUNK_BYTES):
+        part = raw[a : a + CHUNK_BYTES]
+        edge = np.zeros(len(part) + 1, bool)
+        edge[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + len(part), "right")] - a] = True
+        yield a, part, edge
+
+
+def _sums(table: np.ndarray, part: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(part) + 1, _U)
+    np.cumsum(table[part] * _UP[: len(part)], out=out[1:])
+    return out
+
+
+def _word_bounds(raw: np.ndarray, a: int, space: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the chunk at ``a`` where words begin and end."""
+    b = a + len(space)
+    near = np.empty(len(space) + 2, bool)  # the bytes before and after the chunk as well
+    near[0], near[-1] = a == 0 or _SPACE[raw[a - 1]], b == len(raw) or _SPACE[raw[b]]
+    near[1:-1] = space
+    return np.flatnonzero(~space & (near[:-2] | edge[:-1])), np.flatnonzero(~space & (near[2:] | edge[1:])) + 1
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+``: (hash of each word, first word of each document, end included)."""
+    found, table = Segments(), _BYTE_LOWER if lower else _BYTE
+    for a, part, edge in _chunks(raw, offsets):
+        found.feed(_sums(table, part), *_word_bounds(raw, a, _SPACE[part], edge))
+    starts, _, hashes = found.found()
+    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +153,9 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int = SHINGLE_WORDS) -> tupl
 def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
     """The sorted set of shingle hashes of each text, ASCII letters lower-cased."""
     for _, _, raw, offsets in blocks(texts):
-        h, begin = shingles(*words(raw, offsets, True)[:2], k)
+        h, begin = shingles(*words(raw, offsets, True), k)
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
-            s = np.sort(h[a:b])
+            s = np.sort(h[a:b])  # a copy: what is kept of it holds no block
             if len(s) > 1:
                 keep = np.empty(len(s), bool)
                 keep[0] = True
@@ -131,7 +165,7 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray
 
 
 # Byte classes that are counted for the quality operators.
-CLASSES = ("space", "newline", "upper", "lower", "digit", "symbol", "sentence_end", "other_ascii", "lead", "trail")
+CLASSES = ("space", "newline", "upper", "lower", "digit", "symbol", "sentence_end", "bang", "other_ascii", "lead", "trail")
 _CLASS = np.full(256, CLASSES.index("other_ascii"), np.uint8)
 _CLASS[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = CLASSES.index("space")
 _CLASS[0x0A] = CLASSES.index("newline")
@@ -139,7 +173,8 @@ _CLASS[65:91] = CLASSES.index("upper")
 _CLASS[97:123] = CLASSES.index("lower")
 _CLASS[48:58] = CLASSES.index("digit")
 _CLASS[[ord(c) for c in "#*$%&|<>"]] = CLASSES.index("symbol")
-_CLASS[[ord(c) for c in ".!?"]] = CLASSES.index("sentence_end")
+_CLASS[[ord(c) for c in ".?"]] = CLASSES.index("sentence_end")
+_CLASS[ord("!")] = CLASSES.index("bang")
 _CLASS[0xC0:] = CLASSES.index("lead")
 _CLASS[0x80:0xC0] = CLASSES.index("trail")
 
@@ -156,35 +191,41 @@ def text_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     out = {k: np.zeros(n, np.int64) for k in STATS}
     for first, end, raw, offsets in blocks(texts):
         rows, docs = slice(first, end), end - first
-        h, at, space = words(raw, offsets, False)
-        of_byte = np.repeat(np.arange(docs), np.diff(offsets))
-        counts = np.bincount(of_byte * 16 + _CLASS[raw], minlength=docs * 16).reshape(docs, 16)
+        counts = np.zeros((docs, 16), np.int64)
+        found, found_lines, before = Segments(), Segments(), -1
+        for a, part, edge in _chunks(raw, offsets):
+            lo, hi = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, a + len(part)))
+            of = np.repeat(np.arange(hi - lo) * 16, np.diff(np.clip(offsets[lo : hi + 1], a, a + len(part))))
+            of += _CLASS[part]
+            counts[lo:hi] += np.bincount(of, minlength=(hi - lo) * 16).reshape(-1, 16)
+            sums = _sums(_BYTE, part)
+            found.feed(sums, *_word_bounds(raw, a, _SPACE[part], edge))
+            # a line ends before its newline, or where its text ends; the next begins behind either
+            after = np.empty(len(part) + 1, bool)
+            after[0], after[1:] = before == 10, part == 10
+            texts_end = edge & ~after
+            texts_end[0] &= a > 0
+            if a + len(part) < len(raw):
+                texts_end[-1] = False  # the next chunk's
+            shut = np.sort(np.concatenate([np.flatnonzero(part == 10), np.flatnonzero(texts_end)]))
+            found_lines.feed(sums, np.flatnonzero(after[:-1] | edge[:-1]), shut)
+            before = int(part[-1])
+        starts, _, h = found.found()
+        at = np.searchsorted(starts, offsets)
         c = dict(zip(CLASSES, counts.T))
         out["n_words"][rows] = np.diff(at)
         out["word_chars"][rows] = counts.sum(1) - c["space"] - c["newline"] - c["trail"]
-        for stat, name in (("n_symbols", "symbol"), ("n_upper", "upper"), ("n_lower", "lower"), ("n_digit", "digit"), ("n_sentence_end", "sentence_end"), ("n_other_ascii", "other_ascii"), ("n_lead", "lead")):
+        out["n_sentence_end"][rows] = c["sentence_end"] + c["bang"]
+        for stat, name in (("n_symbols", "symbol"), ("n_upper", "upper"), ("n_lower", "lower"), ("n_digit", "digit"), ("n_bangs", "bang"), ("n_other_ascii", "other_ascii"), ("n_lead", "lead")):
             out[stat][rows] = c[name]
-        out["n_bangs"][rows] = np.bincount(of_byte[raw == 33], minlength=docs)
         # lines with a word, equal to an earlier one of the same document
-        n_bytes = len(raw)
-        if n_bytes:
-            is_nl = raw == 10
-            nl = np.flatnonzero(is_nl)
-            starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], nl + 1)
-            starts = starts[starts < n_bytes]
-            stop = np.append(starts[1:], n_bytes)
-            # a line ends before its newline; a text's end ends a line too
-            ends = np.where(is_nl[stop - 1], stop - 1, stop)
-            has = np.zeros(n_bytes + 1, np.int64)
-            np.cumsum(~space, out=has[1:])
-            real = has[ends] > has[starts]
-            starts, ends = starts[real], ends[real]
-            line = _segment_hash(_BYTE[raw], starts, ends)
-            owner = of_byte[starts]
-            out["n_lines"][rows] = np.bincount(owner, minlength=docs)
-            order = np.lexsort((line, owner))
-            same = (line[order][1:] == line[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-            out["n_dup_lines"][rows] = np.bincount(owner[order][1:][same], minlength=docs)
+        begins, ends, line = found_lines.found()
+        real = np.searchsorted(starts, ends) > np.searchsorted(starts, begins)
+        line, owner = line[real], np.searchsorted(offsets, begins[real], "right") - 1
+        out["n_lines"][rows] = np.bincount(owner, minlength=docs)
+        order = np.lexsort((line, owner))
+        same = (line[order][1:] == line[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+        out["n_dup_lines"][rows] = np.bincount(owner[order][1:][same], minlength=docs)
         # words that lie in an 8-word window found twice or more
         m = _U(0xA0761D6478BD642F)
         grams = np.zeros(max(0, len(h) - REPEAT_WORDS + 1), _U)
