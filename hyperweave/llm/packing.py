@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperweave.llm.common import table
+from hyperweave.llm.common import table, trimmed
 
 SEQUENCE_TOKENS = 2048
 MAX_SEGMENTS = 64
@@ -207,8 +207,9 @@ class WordTokens(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # of words in lower case, which no longer hold their strings
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
 
     def _run(self, run: str) -> bytes:
         """Ids of one pre-token; the vocabulary's model takes its bytes as printable characters."""
@@ -237,7 +238,16 @@ class WordTokens(dict):
         self.clear()
         self[b""] = b""
 
+    def _with_special(self, text: bytes) -> bytes:
+        """Ids of a text that holds strings of added tokens: those words go through the whole tokenizer as they are."""
+        whole = lambda t: array("I", self.whole.encode(t.decode(), add_special_tokens=False).ids).tobytes()
+        if any(b" " in s or b"\n" in s for s in self.special):
+            return whole(text)
+        return b"".join(whole(w) if any(s in w for s in self.special) else self.encode(w) for w in text.replace(b"\n", b" ").split(b" "))
+
     def encode(self, text: bytes) -> bytes:
+        if any(s in text for s in self.special):
+            return self._with_special(text)
         if len(self) > CACHE_WORDS:
             self.forget()
         # ASCII letters may be lower-cased first, as the vocabulary does; not beside combining marks, which
@@ -260,7 +270,8 @@ def _tokens(path: str) -> WordTokens:
 def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = SEQUENCE_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss_tokens: int = SEQUENCE_TOKENS, window: int = WINDOW_ITEMS) -> DataFrame:
     """Tokenise whole documents and pack them, cut where needed; one row per piece (columns of ``PIECES``).
 
-    All tokens of a document bear loss. A null text is empty and has the end id alone; a null id stays null;
+    Strings of the vocabulary's added tokens become those tokens, as its tokenizer has it. All tokens of a document bear
+    loss. A null text is empty and has the end id alone; a null id stays null;
     repeated rows are documents of their own; a very long text is cut into full sequences as it is read.
     Other columns of ``docs``, whatever their names, are not read. An empty table gives an empty result.
     ``vocabulary``: path of a tokenizer file that every executor has.
@@ -305,7 +316,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
         words.forget()  # the process goes on to other stages
 
     took = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return took.mapInArrow(pack, PIECES)
+    return took.mapInArrow(trimmed(pack), PIECES)
 
 
 def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
