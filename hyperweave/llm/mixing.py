@@ -82,8 +82,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], other_weight: float,
         n = F.when(slot == i, copies(uniform(F.col(f"`{id_col}`"), seed), rate)).otherwise(n)
     out = docs.select("*", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias(copy))
     out = out.withColumn(key, F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.col(copy).cast("string"))))
-    # The key is uniform, so its first digits deal the rows out evenly in the global order.
-    return out.repartitionByRange(shuffle_partitions(docs.sparkSession), key).sortWithinPartitions(key)
+    # The key is uniform, so its first digits deal the rows out evenly in the global order; no sample of keys is drawn.
+    n = shuffle_partitions(docs.sparkSession)
+    part = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") * F.lit(n * 2.0**-32)).cast("int")
+    return out.repartitionById(n, part).sortWithinPartitions(key)
 
 
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
