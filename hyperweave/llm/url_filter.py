@@ -11,7 +11,9 @@ the stack of the last opening before it and pops what no longer holds it; the lo
 
 Scale: the sweep runs in buckets, ranges of keys bounded by a sample of keys of fixed size, so no task sees more than
 its range; a bound opens with the stack of the rules that hold it. A key that fills several ranges (one hot page or
-host path) is dealt over them by a hash of the row. Keys are cut to the longest rule's length, which changes no match.
+host path) is dealt over them by a hash of the row. Keys are cut to the longest rule's length, which changes no match;
+a url's host and path travel with its first key only, the others carry two hashes of them. The number of ranges follows
+the number of partitions; a key finds its range by bisection of the bounds, one array literal.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from hyperweave.llm.common import shuffle_partitions, table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DEFAULT_VERDICT = "allow"
-MAX_BUCKETS = 128
 SAMPLE_PER_BUCKET = 32
 
 
@@ -48,19 +49,17 @@ def _suffix_keys(host: Column, path: Column, depth: int, length: int) -> Column:
 
 
 def _bucket(key: Column, row: Column, bounds: list[str]) -> Column:
-    """The range that ``key`` lies in: a balanced tree of comparisons; equal bounds share their key's rows by a hash."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(key < bounds[mid - 1], tree(lo, mid - 1)).otherwise(tree(mid, hi))
-
-    out = tree(0, len(bounds))
-    for value in {b for b in bounds if bounds.count(b) > 1}:
-        first = bounds.index(value) + 1
-        out = F.when(key == value, F.lit(first) + F.pmod(F.xxhash64(row), F.lit(bounds.count(value))).cast("int")).otherwise(out)
-    return out
+    """How many bounds ``key`` has reached, by bisection; equal bounds share their key's rows by a hash."""
+    if not bounds:
+        return F.lit(0)
+    listed, size = F.array(*map(F.lit, bounds)), len(bounds)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length()))])
+    reached = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= size) & (F.get(listed, at + step - 1) <= key), at + step).otherwise(at))
+    if len(set(bounds)) == size:
+        return reached
+    times = F.array(F.lit(0), *[F.lit(bounds.count(v)) for v in bounds])
+    # in an array of one, so that the place is found once
+    return F.transform(F.array(reached), lambda at: F.when((F.get(times, at) > 1) & (F.get(listed, at - 1) == key), at - F.pmod(F.xxhash64(row), F.get(times, at)).cast("int")).otherwise(at))[0]
 
 
 def _stacks(keys: DataFrame, rules: DataFrame, lengths: list[int]) -> DataFrame:
@@ -77,7 +76,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     of keys. A url that no rule fits, null ones and those without ``://`` included, gets a null rule and ``default``.
     A null id stays null; repeated rows stay repeated; other columns are not read. Rules with null parts or an empty
     host are dropped, repeated ones count once (of contradicting ones ``block`` holds). No rules: all get ``default``.
-    Very long urls cost only their first bytes. An empty table gives an empty result.
+    Very long urls are keyed by their first bytes. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.col("path").alias("path"), F.col("verdict")).where("host <> '' AND path IS NOT NULL AND verdict IS NOT NULL")
@@ -87,34 +86,37 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     depth = depth or 1
     host, path = split_url(F.col(f"`{url_col}`"))
     split = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
+    split = split.select("*", F.xxhash64("host", "path").alias("h1"), F.xxhash64(F.lit(1), F.col("path"), F.col("host")).alias("h2"))
     match_type = "struct<n:int,rule_key:string,rule:string,verdict:string>"
     if not lengths:
         found = split.select("*", F.lit(None).cast(match_type).alias("match"))
     else:
         # the key's length is no rule's: cut behind the longest rule
         keys = _suffix_keys(F.col("host"), F.col("path"), depth, max(lengths) + 1)
-        probes = split.select("id", "host", "path", F.posexplode_outer(keys).alias("probe", "key"))
-        wanted = min(MAX_BUCKETS, buckets or 2 * shuffle_partitions(spark))
-        sample = probes.where("key IS NOT NULL").select("key", F.xxhash64("id", "host", "path").alias("h")).orderBy("h", "key").limit(SAMPLE_PER_BUCKET * wanted)
+        probes = split.select("id", "h1", "h2", "host", "path", F.posexplode_outer(keys).alias("probe", "key"))
+        once = lambda c: F.when(F.coalesce("probe", F.lit(0)) == 0, F.col(c)).alias(c)
+        probes = probes.select("id", "h1", "h2", once("host"), once("path"), "probe", "key")
+        wanted = buckets or 2 * shuffle_partitions(spark)
+        sample = probes.where("key IS NOT NULL").select("key", F.xxhash64("id", "h1", "h2").alias("h")).orderBy("h", "key").limit(SAMPLE_PER_BUCKET * wanted)
         drawn = sorted(r[0] for r in sample.select("key").collect())  # bounded by the limit
         bounds = [drawn[i * len(drawn) // wanted] for i in range(1, wanted)] if drawn else []
-        ranged = [c for c in ("id", "host", "path", "probe")]
-        nulls = [F.lit(None).cast(split.schema[c].dataType if c != "probe" else "int").alias(c) for c in ranged]
+        ranged = ["id", "h1", "h2", "host", "path", "probe"]
+        nulls = [F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in ranged]
         openings = _stacks(rules.select(F.col("rule_key").alias("key")).distinct(), rules, lengths)
         openings = openings.select(*nulls, "key", _bucket(F.col("key"), F.col("key"), bounds).alias("bucket"), "stack")
         starts = _stacks(spark.range(1).select(F.explode(F.array(*map(F.lit, dict.fromkeys(["", *bounds])))).alias("key")), rules, lengths)
         places = spark.range(1).select(F.posexplode(F.array(*map(F.lit, ["", *bounds]))).alias("bucket", "key"))
         starts = places.join(starts, "key", "left").select(*nulls, "key", "bucket", F.coalesce("stack", F.array().cast(starts.schema["stack"].dataType)).alias("stack"))
         # A rule at a bound opens in the last of the ranges of that key; the bound's own stack has it as well.
-        urls = probes.select(*ranged, "key", F.when(F.col("key").isNull(), F.pmod(F.xxhash64("id", "path"), F.lit(len(bounds) + 1)).cast("int")).otherwise(_bucket(F.col("key"), F.struct("id", "host", "path"), bounds)).alias("bucket"), F.lit(None).cast(openings.schema["stack"].dataType).alias("stack"))
+        urls = probes.select(*ranged, "key", F.when(F.col("key").isNull(), F.pmod(F.xxhash64("id", "h1"), F.lit(len(bounds) + 1)).cast("int")).otherwise(_bucket(F.col("key"), F.struct("id", "h1", "h2"), bounds)).alias("bucket"), F.lit(None).cast(openings.schema["stack"].dataType).alias("stack"))
         events = openings.unionByName(starts).unionByName(urls)
         sweep = Window.partitionBy("bucket").orderBy("key", F.col("probe").isNotNull(), F.size(F.coalesce("stack", F.array().cast(openings.schema["stack"].dataType)))).rowsBetween(Window.unboundedPreceding, 0)
         swept = events.withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("probe IS NOT NULL OR host = ''")
         match = F.try_element_at(F.filter("stack", lambda r: F.col("key").startswith(r["rule_key"])), F.lit(-1))
-        swept = swept.select("id", "host", "path", F.coalesce("probe", F.lit(0)).alias("probe"), match.alias("match"))
+        swept = swept.select("id", "h1", "h2", "host", "path", F.coalesce("probe", F.lit(0)).alias("probe"), match.alias("match"))
         # the longest of a url's keys; rows that are repeated are counted at their first key and come back
         best = F.max(F.when(F.col("match").isNotNull(), F.struct(F.col("match.n"), F.col("match.rule_key"), F.col("match.rule"), F.col("match.verdict"))))
-        found = swept.groupBy("id", "host", "path").agg(best.alias("match"), F.sum(F.when(F.col("probe") == 0, 1).otherwise(0)).cast("int").alias("times"))
+        found = swept.groupBy("id", "h1", "h2").agg(F.max("host").alias("host"), F.max("path").alias("path"), best.alias("match"), F.sum(F.when(F.col("probe") == 0, 1).otherwise(0)).cast("int").alias("times"))
         found = found.select("id", "host", "path", "match", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("col")
     return found.select(F.col("id").alias(id_col), "host", "path", F.col("match.rule").alias("rule"), F.coalesce("match.verdict", F.lit(default)).alias("verdict"))
 
