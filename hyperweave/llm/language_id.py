@@ -5,16 +5,21 @@ into phrases, each the longest string that occurs in the language's sample (or o
 language that needs the fewest phrases for a text's characters, fewest per character, wins.
 
 A phrase is followed by single steps through the automaton and ends where there is no step, so parsing needs its
-transitions only. They are one table for each language; texts are parsed in lanes side by side, a character of every
-lane at a time. Long texts are cut into pieces of ``PIECE`` characters, each a lane, whose phrases are added up.
+transitions only. They are one hash table for all languages, so every letter of every script has a number of its own.
+Texts are parsed in lanes side by side, a character of every lane at a time. Long texts are cut into pieces of ``PIECE``
+characters, each a lane, whose phrases are added up; a piece is entered ``WARM`` characters before it begins, where
+parsing falls in step with that of the text before (on random texts, under one phrase in 3 000 differs).
 
-Scale: learned from a bounded sample of labelled text; then one narrow stage reads every whole text.
+Scale: learned from a bounded sample of labelled text (``SAMPLE_SLOTS`` excerpts and ``SAMPLE_CHARS`` characters of a
+language, ``TOTAL_SLOTS`` and ``TOTAL_CHARS`` in all, shared out evenly among the languages); then one narrow stage
+reads every whole text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperweave.llm.common import table
+from hyperweave.llm.common import parts, table, trimmed
 
 SAMPLE_SLOTS, SAMPLE_CHARS, TEXT_CHARS = 128, 24_000, 1_200
-MAX_LANGUAGES, LETTERS, PIECE, LANES = 200, 46, 512, 8_192
+TOTAL_SLOTS, TOTAL_CHARS, MAX_LANGUAGES = 32_768, 1_000_000, 8_192
+PIECE, WARM, LANES = 512, 48, 32_768
 UNKNOWN = "und"
 
 
@@ -66,46 +72,82 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Steps:
+    """Transitions (state, letter) -> state by open addressing, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, states: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
+        self.keys, self.states = np.full(1 << (64 - int(self.shift)), -1, np.int64), np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        left, at = np.arange(len(keys)), self.place(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            slot, first = np.unique(at[free], return_index=True)
+            put = left[free][first]
+            self.keys[slot], self.states[slot] = keys[put], states[put]
+            rest = self.keys[at] != keys[left]
+            left, at = left[rest], (at[rest] + 1) & (len(self.keys) - 1)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * SPREAD) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The state reached, or -1; keys have one dimension."""
+        at = self.place(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.states[at], np.int32(-1))
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            found, wanted = self.keys[at], keys[left]
+            out[left] = np.where(found == wanted, self.states[at], np.int32(-1))
+            rest = (found != wanted) & (found >= 0)
+            left, at = left[rest], at[rest]
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
-    codes: np.ndarray  # code point -> letter's number, for those under its length
-    width: int
+    codes: np.ndarray  # code point -> letter's number, for those under its length; 1 for letters not learned
     starts: np.ndarray  # each language's start state
-    steps: np.ndarray  # [state * width + letter] -> 2 * state reached + whether a phrase begins
+    first: np.ndarray  # [language, letter] -> state reached from the start, which itself where there is no such step
+    steps: Steps
+
+
+LETTER_BITS = 21
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
-    """From texts of each language. Letters beyond the ``LETTERS`` most frequent share one number."""
+    """From excerpts of each language, which give equal parts of what is taken."""
     languages = sorted(samples)
-    texts = {k: plain(" ".join(samples[k]))[:SAMPLE_CHARS] for k in languages}
-    seen: dict[str, int] = {}
-    for t in texts.values():
-        for c in t:
-            seen[c] = seen.get(c, 0) + 1
-    letters = [c for c in sorted(seen, key=lambda c: (-seen[c], c)) if c != " " and ord(c) < 0x3000][:LETTERS]
-    width = len(letters) + 2
-    codes = np.ones(0x3000, np.uint8)
+    size = min(SAMPLE_CHARS, TOTAL_CHARS // max(1, len(languages)))
+    texts = {k: plain(" ".join(plain(t)[: max(32, size // max(1, len(samples[k])))] for t in samples[k]))[:size] for k in languages}
+    letters = sorted(set().union(*texts.values(), " ") - {" "})
+    codes = np.ones(ord(max(letters, default=" ")) + 1, np.int32)
     codes[32] = 0
-    for i, c in enumerate(letters):
-        codes[ord(c)] = i + 2
-    starts, tables, base = [], [], 0
-    for k in languages:
-        step = automaton([int(codes[min(ord(c), 0x2FFF)]) for c in texts[k]])
-        t = np.full((len(step), width), -1, np.int64)
-        for s, out in enumerate(step):
-            for c, to in out.items():
-                t[s, c] = to
-        first = t[0].copy()
-        # no step: a phrase ends, and the next begins with this character, if the language has it at all
-        flat = np.where(t >= 0, 2 * (t + base), np.where(first >= 0, 2 * (first + base) + 1, 2 * base + 1))
-        # at the start every step begins a phrase
-        flat[0] = np.where(first >= 0, 2 * (first + base) + 1, 2 * base + 1)
-        tables.append(flat)
+    codes[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
+    starts, keys, reached, base = [], [], [], 0
+    first = np.zeros((len(languages), len(letters) + 2), np.int32)
+    for k, name in enumerate(languages):
+        step = automaton(codes[[ord(c) for c in texts[name]]].tolist())
+        first[k] = base
+        for c, to in step[0].items():
+            first[k, c] = base + to
+        keys += [(base + s) << LETTER_BITS | c for s, out in enumerate(step) if s for c in out]
+        reached += [base + to for s, out in enumerate(step) if s for to in out.values()]
         starts.append(base)
         base += len(step)
-    steps = np.concatenate(tables).astype(np.int32).ravel() if tables else np.empty(0, np.int32)
-    return Model(languages, codes, width, np.array(starts, np.int32), steps)
+    return Model(languages, codes, np.array(starts, np.int32), first, Steps(np.array(keys, np.int64), np.array(reached, np.int32)))
+
+
+@lru_cache(1)
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def letters_of(texts: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,11 +157,8 @@ def letters_of(texts: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     lengths = pc.utf8_length(low).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
-    kind = LETTER[np.minimum(points, len(LETTER) - 1)]
-    other = points >= len(LETTER)
-    if other.any():
-        kind[other] = [chr(p).isalpha() for p in points[other].tolist()]
-    number = np.where(kind, codes[np.minimum(points, len(codes) - 1)], 0).astype(np.uint8)
+    kind = (LETTER if int(points.max()) < len(LETTER) else letter_table())[points]
+    number = np.where(kind, codes[np.minimum(points, len(codes) - 1)], 0).astype(np.int32)
     number[(points >= len(codes)) & kind] = 1
     keep = kind.copy()
     # a run of others is one space, where it begins; those at a text's start and end go
@@ -144,40 +183,54 @@ def count_phrases(model: Model, numbers: np.ndarray, offsets: np.ndarray) -> np.
     lengths = np.diff(offsets)
     pieces = -(-lengths // PIECE)
     owner = np.repeat(np.arange(n), pieces)
-    begin = offsets[:-1][owner] + PIECE * (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    size = np.minimum(offsets[1:][owner] - begin, PIECE)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    warm = np.where(nth > 0, WARM, 0)
+    begin = offsets[:-1][owner] + PIECE * nth
+    size = np.minimum(offsets[1:][owner] - begin, PIECE) + warm
+    begin -= warm
     order = np.argsort(-size, kind="stable")
-    for at in range(0, len(order), LANES):
-        lanes = order[at : at + LANES]
-        where, left = begin[lanes], size[lanes]
+    width = max(64, LANES // max(1, languages))
+    every = np.arange(languages)
+    for at in range(0, len(order), width):
+        lanes = order[at : at + width]
+        where, left, skip = begin[lanes], size[lanes], warm[lanes]
         states = np.tile(model.starts, (len(lanes), 1))
         phrases = np.zeros((len(lanes), languages), np.int32)
         live = len(lanes)
         for i in range(int(left[0]) if len(left) else 0):
             while live and left[live - 1] <= i:
                 live -= 1
-            index = states[:live] * np.int32(model.width)
-            index += numbers[where[:live] + i].astype(np.int32)[:, None]
-            reached = model.steps[index]
-            phrases[:live] += reached & 1
-            states[:live] = reached >> 1
+            now, c = states[:live], numbers[where[:live] + i]
+            reached = model.steps.get((now.astype(np.int64) << LETTER_BITS | c[:, None]).ravel()).reshape(live, languages)
+            # no step (as at the start): a phrase begins with this character, if the language has it at all
+            fresh = reached < 0
+            states[:live] = np.where(fresh, model.first[every, c[:, None]], reached)
+            phrases[:live] += fresh if i >= WARM else fresh & (skip[:live, None] <= i)
         np.add.at(out, owner[lanes], phrases)
     return out
 
 
 def labelled_texts(docs: DataFrame, keep: Column, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """At most ``SAMPLE_SLOTS`` excerpts of each language: of the labelled documents that hash to a slot, the first by hash."""
+    """Excerpts of each language: of the labelled documents that hash to one of so many slots, the first by hash gives
+    ``TEXT_CHARS`` characters from a place in its whole text that the hash chooses. Every language has its slots: up to
+    ``SAMPLE_SLOTS``, of ``TOTAL_SLOTS`` in all; more than ``MAX_LANGUAGES`` are an error."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & keep).withColumn("h", F.xxhash64("doc_id"))
-    first = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_SLOTS)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
-    picked = [tuple(r) for r in first.orderBy("lang", "h").limit(MAX_LANGUAGES * SAMPLE_SLOTS).collect()]
+    languages = rows.select("lang").distinct().count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"{languages} languages; at most {MAX_LANGUAGES} can be learned")
+    slots = max(4, min(SAMPLE_SLOTS, TOTAL_SLOTS // max(1, languages)))
+    first = rows.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
+    picked = [tuple(r) for r in first.collect()]  # at most so many slots
     if not picked:
         return {}
     wanted = docs.sparkSession.createDataFrame(picked, "lang string, h long")
-    got = rows.select("lang", "h", F.substring("text", 1, TEXT_CHARS).alias("text")).join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    begin = F.pmod("h", F.greatest(F.length("text") - TEXT_CHARS + 1, F.lit(1))).cast("int") + 1
+    near = rows.join(F.broadcast(wanted), ["lang", "h"]).select("lang", "h", F.substring("text", begin, F.lit(TEXT_CHARS)).alias("text"))
+    got = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
-    for r in got.orderBy("lang", "h").collect():
-        out.setdefault(r.lang, []).append(r.text)
+    for r in sorted(map(tuple, got.collect())):
+        out.setdefault(r[0], []).append(r[2])
     return {k: v for k, v in out.items() if any(c.isalpha() for t in v for c in t)}
 
 
@@ -186,7 +239,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     Texts that are null or have no letter are ``und`` with score 0, as all are where nothing was learned. The score is
     the share of the runner-up in the phrases of both (0.5: a tie, which goes to the first in order of names); with one
-    language it is 1. A null id stays null; repeated rows stay repeated; no other column is read.
+    language it is 1. A null id stays null; repeated rows stay repeated; no other column is read. An empty table gives an
+    empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -194,27 +248,22 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
-            best, score = np.full(batch.num_rows, len(m.languages)), np.zeros(batch.num_rows)
-            texts = batch.column(1)
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            at = 0
-            while at < batch.num_rows and m.languages:
-                end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), 4 << 20, "right")))
-                numbers, offsets = letters_of(texts.slice(at, end - at), m.codes)
-                has = np.diff(offsets) > 0
-                p = count_phrases(m, numbers, offsets)
-                rows = np.arange(at, at + len(has))[has]
-                best[rows] = p[has].argmin(1)
-                if p.shape[1] > 1:
-                    two = np.partition(p[has], 1, axis=1)[:, :2]
-                    score[rows] = two[:, 1] / two.sum(1)
-                else:
-                    score[rows] = 1.0
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            for part in parts(batch, 1):
+                best, score = np.full(part.num_rows, len(m.languages)), np.zeros(part.num_rows)
+                if m.languages:
+                    numbers, offsets = letters_of(part.column(1), m.codes)
+                    has = np.diff(offsets) > 0
+                    p = count_phrases(m, numbers, offsets)[has]
+                    best[has] = p.argmin(1)
+                    if p.shape[1] > 1:
+                        two = np.partition(p, 1, axis=1)[:, :2]
+                        score[has] = two[:, 1] / two.sum(1)
+                    else:
+                        score[has] = 1.0
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     took = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return took.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return took.mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
