@@ -28,7 +28,7 @@ def vocabulary():
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in every column, empty, blank and very long texts, repeated rows, columns whose names operators use."""
-    texts = [None, "", " \n\t ", "a", "Une É_x 9²! áb it's", BASE, BASE.upper(), BASE, LONG, "one two three", "mail a@b.co +12 345 678 901"]
+    texts = [None, "", " \n\t ", "a", "Une É_x 9²! áb it's", BASE, BASE.upper(), BASE, LONG, "one two three", "mail a@b.co +12 345 678 901", "end<|endoftext|> of<|startoftext|>it <|ENDOFTEXT|>"]
     rows = [(i, t, "en" if i % 2 else None, "src0" if i % 3 else None, None, "x", 1, 2, 3, 4) for i, t in enumerate(texts)]
     return spark.createDataFrame([*rows, rows[5], rows[5], (None, BASE, None, None, None, None, None, None, None, None)], DOCS)
 
@@ -111,10 +111,11 @@ def test_mixing_edges(spark, odd):
     assert mixing.mix_sources(odd.limit(0), {"src0": 1.0}, 1.0).count() == 0
 
 
-@pytest.mark.parametrize("unit_docs, pivots", [(2048, 16), (32, 2), (32, 0)])  # small: large families go by blocks
-def test_jaccard_by_brute_force(spark, odd, monkeypatch, unit_docs, pivots):
-    monkeypatch.setattr(jaccard_join, "UNIT_DOCS", unit_docs)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+# small units: large families go by blocks; few shingles: so do long texts; hot: frequent shingles are joined back
+@pytest.mark.parametrize("unit_docs, pivots, shingles, hot", [(2048, 16, 1 << 20, 4096), (32, 2, 1 << 20, 20), (32, 0, 1 << 20, 4096), (2048, 16, 2000, 20)])
+def test_jaccard_by_brute_force(spark, odd, monkeypatch, unit_docs, pivots, shingles, hot):
+    for name, value in (("UNIT_DOCS", unit_docs), ("PIVOTS", pivots), ("UNIT_SHINGLES", shingles), ("HOT", hot), ("BLOCK_FLOOR", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(5)
     words = [f"t{i}" for i in range(400)]
     texts = []
@@ -154,6 +155,7 @@ def test_jaccard_by_brute_force(spark, odd, monkeypatch, unit_docs, pivots):
                 up[max(x, y)] = min(x, y)
     assert got == sorted(repr((i, len(grams(t)), None if i is None else find(i))) for i, t in rows)
     assert jaccard_join.near_duplicates(odd.limit(0)).count() == 0
+    assert jaccard_join.near_duplicates(odd).count() == odd.count()  # with columns whose names clash
 
 
 def test_components_of_a_chain(spark):
@@ -184,8 +186,9 @@ def test_language_held_out_and_edges(spark, odd):
     text = "abab xé cdc"
     numbers, offsets = language_id.letters_of(pa.array([text, None, "..cd."]), model.codes)
     # phrases by hand: in aa "abab ", x, é, " ", c, d, c; in bb a, b, a, b, " ", x, é, " cdc" after one for the unseen pair
-    sample = {k: "".join(chr(65 + model.codes[min(ord(c), 0x2FFF)]) for c in t) for k, t in (("aa", "abab abab"), ("bb", "cdcd cdcd"))}
-    coded = "".join(chr(65 + model.codes[min(ord(c), 0x2FFF)]) for c in text)
+    number = lambda c: chr(65 + (model.codes[ord(c)] if ord(c) < len(model.codes) else 1))
+    sample = {k: "".join(map(number, t)) for k, t in (("aa", "abab abab"), ("bb", "cdcd cdcd"))}
+    coded = "".join(map(number, text))
     for k, lang in enumerate(model.languages):
         i = n = 0
         while i < len(coded):
@@ -197,6 +200,7 @@ def test_language_held_out_and_edges(spark, odd):
 
 
 def test_license_edges(spark, odd):
+    assert license_scan.scan_licenses(odd, list(license_scan.TEMPLATES)).count() == 0  # with columns whose names clash
     docs = odd.select("doc_id", "text").unionAll(spark.createDataFrame([(50, "x " * 99 + "released UNDER the mit license!"), (51, "Released under the MIT"), (None, "Released under the MIT License.")], "doc_id long, text string"))
     assert {(r.doc_id, r.license) for r in license_scan.scan_licenses(docs, list(license_scan.TEMPLATES)).collect()} == {(50, "MIT"), (None, "MIT")}
     assert license_scan.scan_licenses(docs.limit(0), list(license_scan.TEMPLATES)).count() == 0
@@ -249,7 +253,7 @@ def test_neighbours_recall_and_edges(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (None, x[0].tolist()), (5050, [1.0]), (0, x[0].tolist())]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
-    got = multi_index.nearest(df, F.col("vec_id") % 50 == 0, min_candidates=500).toPandas()
+    got = multi_index.nearest(df, F.col("vec_id") % 50 == 0, shelf_vectors=500).toPandas()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     hits = 0
     for q, g in got.groupby("query_id"):
