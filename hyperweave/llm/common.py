@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PART_BYTES, PART_ROWS = 1 << 20, 1024
 
@@ -87,6 +88,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_share(value: Column, n: int, wanted: float) -> Column:
+    """Whether a hash is among the smallest ones, of which ``n`` different values have about ``wanted``.
+
+    Before an exact sort and limit it leaves each task a bounded part, whatever the number of tasks."""
+    return F.lit(True) if wanted >= n else value <= F.lit(int(-(2**63) + wanted / n * 2**64))
+
+
 def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """A batch in slices of whole rows, of about ``PART_BYTES`` of that string column and ``PART_ROWS`` rows at most."""
     texts, begin, size = batch.column(column), 0, 0

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperweave.llm import textkernel
-from hyperweave.llm.common import parts, trimmed
+from hyperweave.llm.common import hash_share, parts, trimmed
 
 MAX_LABELLED = 8_000
 
@@ -66,6 +66,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, keep: Co
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     if keep is not None:
         some = some.where(keep)
+    some = some.where(hash_share(F.xxhash64("doc_id"), some.count(), 1.25 * limit + 100))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
     stats = with_stats(docs.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi"))
     got = stats.dropDuplicates(["doc_id"]).toPandas()

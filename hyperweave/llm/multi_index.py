@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hyperweave.llm.common import materialise, shuffle_partitions, table, trimmed
+from hyperweave.llm.common import hash_share, materialise, shuffle_partitions, table, trimmed
 
 SAMPLE_ROWS, ROWS_PER_CENTROID, ITERATIONS, MAX_CENTROIDS = 4_096, 32, 12, 1_024
 BUDGET, POWER = 1.8, 0.85
@@ -123,7 +123,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "
     one = materialise(rows.where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     total = one.count()
     size = int(min(MAX_CENTROIDS, max(2, 0.75 * total**0.5)))
-    sample = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE_ROWS, ROWS_PER_CENTROID * size)).toPandas()
+    sampled = max(SAMPLE_ROWS, ROWS_PER_CENTROID * size)
+    sample = one.where(hash_share(F.xxhash64("vec_id"), total, 1.25 * sampled)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sampled).toPandas()
     x = unit(np.array(sample.v.tolist()))
     halves = (kmeans(x[:, sides[0]], size), kmeans(x[:, sides[1]], size) if width > 1 else np.zeros((1, 0)))
     del x, sample

@@ -13,9 +13,8 @@ random string that is announced as a secret or begins like one is positive; one
 amount, running number, digest or joined words put in its place, is negative. Candidates that documents hold themselves
 have no label and are left out.
 
-Scale: fitted on the sample (of the ``SCAN_DOCS`` documents with the smallest hashes of ids, at most ``SAMPLE_DOCS``
-with two digits or an at sign; at most ``SAMPLE_SPANS`` candidates go to the driver); then one narrow stage reads every
-whole text. Work is linear in a text's length up to a logarithm, and memory follows the longest text.
+Scale: fitted on the sample (about ``SCAN_DOCS`` documents, those with the smallest hashes of ids; at most
+``SAMPLE_SPANS`` candidates go to the driver); then one narrow stage reads every whole text. Work is linear in a text's length up to a logarithm, and memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -32,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperweave.llm.common import parts, table, trimmed
+from hyperweave.llm.common import hash_share, parts, table, trimmed
 
 KINDS = ("email", "ip", "card", "phone", "other")
 BASE = KINDS[:4]
-SCAN_DOCS, SAMPLE_DOCS, SAMPLE_SPANS = 65_536, 4_000, 32_000
+SCAN_DOCS, SAMPLE_SPANS = 20_000, 32_000
 ROUNDS, LEAVES_DEPTH, RATE, L2, BINS = 80, 4, 0.2, 2.0, 64
 PRECISION = 0.98
 
@@ -352,14 +351,12 @@ def examples(text: str) -> Iterator[tuple[list[float], bool]]:
 
 
 def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Boosted:
-    """From at most ``SAMPLE_DOCS`` documents with two digits or an at sign, of the ``SCAN_DOCS`` with the smallest hashes
-    of ids. Only hashes are sorted to find those; at most ``SAMPLE_SPANS`` candidates come to the driver."""
+    """From those of the about ``SCAN_DOCS`` documents with the smallest hashes of ids that have two digits or an at sign;
+    at most ``SAMPLE_SPANS`` candidates come to the driver. Without any, base spans are all that will be found."""
     some = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    last = some.select("h").orderBy("h").limit(SCAN_DOCS).agg(F.max("h")).first()[0]
-    if last is None:
-        return Boosted(0.0, [], 2.0)
     # only the few rows of the sample are searched
-    near = some.where(F.col("h") <= last).where(F.when(F.col("h") <= last, F.col("text").rlike("[0-9]{2}|@")))
+    mine = hash_share(F.col("h"), docs.count(), SCAN_DOCS)
+    near = some.where(F.when(mine, F.col("text").rlike("[0-9]{2}|@")))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,10 +368,7 @@ def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Bo
                     hs.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array([[float(v) for v in x] for x in xs], pa.list_(pa.float64())), pa.array(ys, pa.bool_())], names=["h", "x", "y"])
 
-    keys = near.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    if keys is None:
-        return Boosted(0.0, [], 2.0)
-    got = near.where(F.col("h") <= keys).mapInArrow(propose, "h long, x array<double>, y boolean").orderBy("h", "x", "y").limit(SAMPLE_SPANS).toPandas()
+    got = near.mapInArrow(propose, "h long, x array<double>, y boolean").orderBy("h", "x", "y").limit(SAMPLE_SPANS).toPandas()
     got = got.assign(k=got.x.map(tuple)).sort_values(["h", "k"], kind="stable")
     return fit(np.array(got.x.tolist(), float).reshape(len(got), len(NAMES)), got.y.to_numpy(bool))
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hyperweave.llm.common import shuffle_partitions, table
+from hyperweave.llm.common import hash_share, shuffle_partitions, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -97,7 +97,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
         once = lambda c: F.when(F.coalesce("probe", F.lit(0)) == 0, F.col(c)).alias(c)
         probes = probes.select("id", "h1", "h2", once("host"), once("path"), "probe", "key")
         wanted = buckets or 2 * shuffle_partitions(spark)
-        sample = probes.where("key IS NOT NULL").select("key", F.xxhash64("id", "h1", "h2").alias("h")).orderBy("h", "key").limit(SAMPLE_PER_BUCKET * wanted)
+        some = probes.where(F.col("key").isNotNull() & hash_share(F.xxhash64("id", "h1", "h2"), pages.count(), 2 * SAMPLE_PER_BUCKET * wanted + 100))
+        sample = some.select("key", F.xxhash64("id", "h1", "h2").alias("h")).orderBy("h", "key").limit(SAMPLE_PER_BUCKET * wanted)
         drawn = sorted(r[0] for r in sample.select("key").collect())  # bounded by the limit
         bounds = [drawn[i * len(drawn) // wanted] for i in range(1, wanted)] if drawn else []
         ranged = ["id", "h1", "h2", "host", "path", "probe"]
