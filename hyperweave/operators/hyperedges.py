@@ -51,6 +51,12 @@ def hyperedges(alignments: DataFrame, contigs: DataFrame, f: Filters) -> DataFra
     return edges.where("k >= 2").select(F.col("read_id").alias("edge_id"), "k", "r", "q_read", "q_prime", fn.edge_weight(F.col("q_prime"), F.col("k")).alias("w"), "members")
 
 
+def in_universe(alignments: DataFrame, contigs: DataFrame, f: Filters) -> tuple[DataFrame, DataFrame]:
+    """Passing alignments to known contigs, and to unknown ones."""
+    rows, names = passing(alignments, f), contigs.select(F.col("name").alias("contig"))
+    return rows.join(names, "contig", "left_semi"), rows.join(names, "contig", "left_anti")
+
+
 def read_bundles(alignments: DataFrame) -> DataFrame:
     """Measures of each read over its mapped alignments."""
     out = mapped(alignments).groupBy("read_id").agg(F.sum("qaln").alias("qaln"), F.max("qlen").alias("qlen"), F.countDistinct("contig").alias("n_contigs"), F.min("qaln").alias("min_segment_qaln"), F.avg("mapq").alias("mean_mapq"))
@@ -71,9 +77,21 @@ def funnel(alignments: DataFrame, contigs: DataFrame, f: Filters) -> DataFrame:
     )
 
 
-def sort_order_probe(alignments: DataFrame) -> DataFrame:
-    """Reads that come in more than one run of consecutive records (none: the file is grouped by read)."""
+PROBE_SPAN = 1 << 20
+
+
+def sort_order_probe(alignments: DataFrame, first: int | None = None) -> DataFrame:
+    """Reads that come in more than one run of consecutive records (none: the file is grouped by read).
+
+    ``first``: look at so many records of a file only, as a probe. Records are compared within spans of ``PROBE_SPAN``
+    ordinals; a read that goes on from one span to the next is corrected by the spans' ends, a row for each."""
     files = [c for c in ("file",) if c in alignments.columns]
-    by = Window.partitionBy(*files).orderBy("ordinal")
-    starts = alignments.withColumn("starts", (~F.col("read_id").eqNullSafe(F.lag("read_id").over(by))).cast("int"))
-    return starts.groupBy(*files, "read_id").agg(F.sum("starts").cast("long").alias("runs")).where("runs > 1")
+    rows = alignments.select(*files, "read_id", "ordinal", F.floor(F.col("ordinal") / PROBE_SPAN).alias("span"))
+    if first is not None:
+        rows = rows.where(F.col("ordinal") < first)
+    before = F.lag("read_id").over(Window.partitionBy(*files, "span").orderBy("ordinal"))
+    starts = rows.select(*files, "read_id", (~F.col("read_id").eqNullSafe(before)).cast("long").alias("starts"))
+    ends = rows.groupBy(*files, "span").agg(F.min_by(F.struct("read_id"), "ordinal").alias("head"), F.max_by(F.struct("read_id"), "ordinal").alias("tail"))
+    goes_on = ends.withColumn("before", F.lag("tail").over(Window.partitionBy(*files).orderBy("span"))).where(F.col("before").isNotNull() & F.col("head.read_id").eqNullSafe(F.col("before.read_id")) & F.col("head.read_id").isNotNull())
+    every = starts.unionByName(goes_on.select(*files, F.col("head.read_id").alias("read_id"), F.lit(-1).cast("long").alias("starts")))
+    return every.groupBy(*files, "read_id").agg(F.sum("starts").alias("runs")).where("runs > 1")

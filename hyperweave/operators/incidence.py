@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hyperweave import functions as fn
@@ -45,6 +45,24 @@ def laplacian(inc: DataFrame, degrees: DataFrame) -> DataFrame:
     return scaled.unionByName(degrees.select(F.col("v").alias("i"), F.col("v").alias("j"), F.lit(1.0).alias("val"))).groupBy("i", "j").agg(F.sum("val").alias("val"))
 
 
+def multiply_coo(matrix: DataFrame, x: DataFrame) -> DataFrame:
+    """(i, y) of a matrix (i, j, val) times ``x(v, x)``; every row of ``x`` has a y, 0 where the matrix has nothing."""
+    found = matrix.join(x.select(F.col("v").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("val") * F.col("x")).alias("y"))
+    return x.select(F.col("v").alias("i")).join(found, "i", "left").select("i", F.coalesce("y", F.lit(0.0)).alias("y"))
+
+
+def dense(inc: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(incidence over vertices 0 .. n-1, (v, idx) in order of v): for vertices whose numbers have gaps.
+
+    Numbers are ranks within ranges of ``v`` plus the sizes of the ranges before."""
+    ranged = vertices.select("v", F.floor(F.col("v") / 65536).alias("range"))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row for each range
+    ranked = ranged.select("v", "range", F.row_number().over(Window.partitionBy("range").orderBy("v")).alias("rank"))
+    numbers = ranked.join(before, "range").select("v", (F.col("before") + F.col("rank") - 1).cast("long").alias("idx"))
+    return inc.join(numbers, "v").drop("v").withColumnRenamed("idx", "v"), numbers
+
+
 def knn_incidence(mutual: DataFrame) -> DataFrame:
     """Hyperedges around each centre of a mutual neighbour graph (center, neighbor, h): weights in h, w = 1."""
     inc = mutual.select(F.col("center").alias("edge_id"), F.col("neighbor").alias("v"), "h", F.lit(1.0).alias("w"))

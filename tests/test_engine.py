@@ -47,6 +47,8 @@ def test_block_solver_finds_planted_groups(spark):
     inc = incidence.incidence(spark.createDataFrame(edges, "edge_id long, members array<long>, w double"))
     rows = spectral.hyperedge_rows(inc, incidence.vertex_degrees(inc, spark.range(90).select(F.col("id").alias("v"))))
     dense, block = spectral.smallest(rows, 90, 4)[0], spectral.smallest(rows, 90, 4, dense_limit=0)
+    spread = spectral.smallest(rows, 90, 4, dense_limit=0, local_cells=0)  # rows that stay on the executors
+    assert np.allclose(spread[0], block[0], atol=1e-9) and (spectral.residuals(rows, *block) < 1e-3).all()
     assert np.allclose(dense, block[0], atol=1e-3)
     assert spectral.largest_gap(dense, 1, 3) == 3
     got = {r.v: r.cluster for r in cluster.kmeans(cluster.frame(spark, block[1][:, :3]), 3, n_init=3).collect()}

@@ -1,4 +1,4 @@
-"""Queries whose whole job goes beyond what their older SQL holds."""
+"""Queries do their whole job."""
 
 import numpy as np
 import pytest
@@ -17,15 +17,15 @@ def test_eigengap_takes_the_whole_series(spark):
     k, gap = spectral.largest_gap_of(spark.createDataFrame([(float(v),) for v in x], "val double").repartition(7))
     x.sort()
     assert k == spectral.largest_gap(x, 1, len(x) - 1) and np.isclose(gap, np.diff(x).max())
-    assert Q.QUERIES["eigengap_whole"](spark, "/root/testdata/sf0.01").collect()[0].k == 53
+    assert Q.QUERIES["eigengap"](spark, "/root/testdata/sf0.01").collect()[0].k == 53
 
 
 def test_hypergraph_queries_keep_members_beyond_the_fourth(spark):
     d = "/root/testdata/sf0.001"
-    members = {r.edge_id: set(r.members) for r in Q.edges(spark, d, Q.UNCAPPED).collect()}
+    members = {r.edge_id: set(r.members) for r in Q.edges(spark, d).collect()}
     assert max(map(len, members.values())) > 4
-    assert {(r.edge_id, r.v) for r in Q.QUERIES["incidence_whole"](spark, d).collect()} == {(e, v) for e, some in members.items() for v in some}
-    assert all(Q.SQL[f"{name}_whole"] != Q.SQL[name] for name in Q.WHOLE)
+    assert {(r.edge_id, r.v) for r in Q.QUERIES["incidence"](spark, d).collect()} == {(e, v) for e, some in members.items() for v in some}
+    assert {r.v for r in Q.QUERIES["vertex_degree"](spark, d).collect()} == {r.p_partkey for r in spark.read.parquet(f"{d}/part.parquet").collect()}
 
 
 def test_bins_and_eigenvalues_take_whole_hyperedges(spark, monkeypatch):
@@ -39,5 +39,5 @@ def test_bins_and_eigenvalues_take_whole_hyperedges(spark, monkeypatch):
 def test_bins_take_all_documents(spark):
     d = "/root/testdata/sf0.001"
     ids = {r.doc_id for r in spark.read.parquet(f"{d}/documents.parquet").where("source IS NOT NULL").select("doc_id").collect()}
-    assert {r.idx for r in Q.QUERIES["export_records_whole"](spark, d).select("idx").collect()} == ids
-    assert sum(r.num_contigs for r in Q.QUERIES["bin_stats_whole"](spark, d).collect()) == len(ids)
+    assert {r.idx for r in Q.QUERIES["export_records"](spark, d).select("idx").collect()} == ids
+    assert sum(r.num_contigs for r in Q.QUERIES["bin_stats"](spark, d).collect()) == len(ids)
