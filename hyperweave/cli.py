@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,8 @@ def main(argv: list[str] | None = None) -> None:
     for arg in ("contigs", "bins", "out_dir"):
         p.add_argument(arg)
     a = parser.parse_args(argv)
+    logging.basicConfig(level=logging.WARNING, format="%(asctime)s %(name)s %(message)s")
+    logging.getLogger("hyperweave").setLevel(logging.INFO)
     spark = SparkSession.builder.appName("hyperweave").getOrCreate()
     if a.command == "pipeline":
         pipelines.run_single(spark, load_config(a.config, a.k)).show()

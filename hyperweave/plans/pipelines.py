@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,18 @@ from hyperweave.operators import cluster, hyperedges, incidence, kmers, knn, spe
 from hyperweave.sources import bio, sinks
 
 
+log = logging.getLogger("hyperweave")
+PROBE_RECORDS = 50_000
+
+
+def _alignments(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments; warns where records don't come grouped by read, which changes no result here."""
+    found = bio.read_alignments(spark, path)
+    if bio.sort_order(spark, path) != "queryname" and not hyperedges.sort_order_probe(found, PROBE_RECORDS).isEmpty():
+        log.warning("%s is not sorted by read name", path)
+    return found
+
+
 def _vertices(contigs: DataFrame) -> DataFrame:
     return contigs.select(F.col("idx").alias("v"))
 
@@ -19,11 +33,15 @@ def run_single(spark: SparkSession, c: Config) -> DataFrame:
     contigs = bio.read_fasta(spark, c.contigs_fasta).persist()
     n = contigs.count()
     edges_path = f"{c.output_dir}/edges"
-    sinks.write_edges(hyperedges.hyperedges(bio.read_alignments(spark, c.alignments), contigs, c.filters), edges_path, c.edges_per_file)
+    log.info("%d contigs", n)
+    sinks.write_edges(hyperedges.hyperedges(_alignments(spark, c.alignments), contigs, c.filters), edges_path, c.edges_per_file)
     edges = spark.read.parquet(edges_path)
     inc = incidence.incidence(edges)
     degrees = incidence.vertex_degrees(inc, _vertices(contigs)).persist()
-    sinks.write_json(incidence.stats(edges, degrees), f"{c.output_dir}/hypergraph.stats.json")
+    # edges are stored in files whether streaming is enabled in the settings or not
+    stats = incidence.stats(edges, degrees).withColumn("n_chunks", F.lit(len(edges.inputFiles()))).persist()
+    sinks.write_json(stats, f"{c.output_dir}/hypergraph.stats.json")
+    log.info("hypergraph: %s", stats.first().asDict())
     if edges.isEmpty():
         raise RuntimeError("no hyperedges pass the filters")
     rows = spectral.hyperedge_rows(inc, degrees)
@@ -32,6 +50,7 @@ def run_single(spark: SparkSession, c: Config) -> DataFrame:
     else:
         k = min(c.k, n)
         u = spectral.smallest(rows, n, k, maxiter=c.maxiter, seed=c.seed)[1]
+    log.info("k used: %d", k)
     labels = cluster.kmeans(cluster.frame(spark, u), k, seed=c.seed).persist()
     return _write_bins(contigs, labels, c.output_dir, k)
 
@@ -41,7 +60,8 @@ def _write_bins(contigs: DataFrame, labels: DataFrame, out: str, k: int | None)
     sinks.write_tsv(bins, f"{out}/bins.tsv")
     sinks.write_tsv(sinks.bin_sizes(labels), f"{out}/bin_sizes.tsv")
     if k is not None:
-        contigs.sparkSession.range(1).select(F.lit(str(k)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/k_used.txt")
+        sinks.write_text(contigs.sparkSession.range(1).select(F.lit(str(k)).alias("value")), f"{out}/k_used.txt")
+    log.info("bins written to %s", out)
     return bins
 
 
@@ -59,13 +79,16 @@ def run_multiplex(spark: SparkSession, c: Config) -> DataFrame:
     values = kmers.tnf(kmers.kmer_counts(contigs.select(F.col("idx").alias("v"), "seq"), c.filters.min_contig_len))
     vectors = kmers.feature_vectors(values, kmers.canonical_dictionary(spark), vertices)
     chem = incidence.knn_incidence(knn.mutual(knn.knn(vectors, min(c.knn_k, n)))).persist()
-    alignments = bio.read_alignments(spark, c.alignments)
+    alignments = _alignments(spark, c.alignments)
     phys = incidence.incidence(hyperedges.hyperedges(alignments, contigs, c.filters)).persist()
-    sinks.write_json(hyperedges.funnel(alignments, contigs, c.filters), f"{out}/porec_stats.json")
+    funnel = hyperedges.funnel(alignments, contigs, c.filters).persist()
+    sinks.write_json(funnel, f"{out}/porec_stats.json")
+    log.info("reads: %s", funnel.first().asDict())
     rows = spectral.multiplex_rows(*(spectral.hyperedge_rows(i, incidence.vertex_degrees(i, vertices)) for i in (phys, chem)), n, c.beta)
     wanted = min(c.k, 2 * n - 1) if c.k > 0 else max(2, min(min(200, n - 1), 2 * n - 2))
     values, u = spectral.smallest(rows, 2 * n, wanted, shift=1 + 2 * c.beta, maxiter=c.maxiter, seed=c.seed)
     k = min(n, wanted if c.k > 0 else spectral.multiplex_k(values, n))
+    log.info("k used: %d", k)
     labels = cluster.kmeans(cluster.frame(spark, spectral.fuse_layers(u[:, :k])), k, seed=c.seed).persist()
     return _write_bins(contigs, labels, out, None)
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import struct
 from collections.abc import Iterator
 
@@ -25,8 +26,13 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     record = raw.where(F.trim("value") != "").withColumn("value", F.regexp_replace("value", "\r", ""))
     head = F.substring_index("value", "\n", 1)
     seq = F.regexp_replace(F.substring(F.col("value"), F.length(head) + 2, F.length("value")), r"\s", "")
-    found = record.select("file", "at", F.split(head, r"\s+", 2)[0].alias("name"), head.alias("description"), seq.alias("seq"))
-    return found.select((F.row_number().over(Window.orderBy("file", "at")) - 1).cast("long").alias("idx"), "name", "description", "seq", F.length("seq").cast("long").alias("length"))
+    found = record.select("file", "at", F.shiftright("at", 33).alias("split"), F.split(head, r"\s+", 2)[0].alias("name"), head.alias("description"), seq.alias("seq"))
+    # places within a split of a file plus what the splits before it hold, a row for each; sequences stay where they are read
+    sizes = record.groupBy("file", F.shiftright("at", 33).alias("split")).agg(F.count("*").alias("n"))
+    before = sizes.select("file", "split", (F.sum("n").over(Window.orderBy("file", "split")) - F.col("n")).alias("before"))
+    at = record.select(F.col("file").alias("f"), F.col("at").alias("a"), (F.row_number().over(Window.partitionBy("file", F.shiftright("at", 33)).orderBy("at")) - 1).alias("place"))
+    numbered = found.join(before, ["file", "split"]).join(at, (F.col("f") == F.col("file")) & (F.col("a") == F.col("at")))
+    return numbered.select((F.col("before") + F.col("place")).cast("long").alias("idx"), "name", "description", "seq", F.length("seq").cast("long").alias("length"))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -44,6 +50,25 @@ def sam_sort_order(spark: SparkSession, path: str) -> DataFrame:
     return head.where("sort_order <> ''")
 
 
+def bam_sort_order(path: str) -> str | None:
+    """The order that a BAM file's header declares."""
+    with gzip.open(path, "rb") as f:
+        if f.read(4) != b"BAM\1":
+            raise ValueError("not a BAM file")
+        header = f.read(struct.unpack("<i", f.read(4))[0]).decode(errors="replace")
+    found = re.search(r"^@HD\t(?:.*\t)?SO:(\w+)", header, re.MULTILINE)
+    return found[1] if found else None
+
+
+def sort_order(spark: SparkSession, path: str) -> str | None:
+    """The order that headers declare: of several files only one that all share."""
+    if path.endswith(".bam"):
+        found = {bam_sort_order(p) for p in path.split(",")}
+    else:
+        found = {r.sort_order for r in sam_sort_order(spark, path).select("sort_order").distinct().collect()}
+    return found.pop() if len(found) == 1 else None
+
+
 def decode_bam(data: io.BufferedIOBase) -> Iterator[tuple]:
     """(ordinal, read_id, flag, contig, mapq, qlen, qaln) of each record of an uncompressed BAM stream."""
 

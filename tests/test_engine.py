@@ -1,4 +1,5 @@
 import gzip
+import json
 import math
 import struct
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hyperweave import queries as Q
 from hyperweave.config import Filters, load_config
-from hyperweave.operators import cluster, hyperedges, incidence, knn, spectral
+from hyperweave.operators import cluster, hyperedges, incidence, kmers, knn, spectral
 from hyperweave.plans import pipelines
 from hyperweave.sources import bio
 
@@ -96,12 +97,55 @@ def test_sources(spark, tmp_path):
     (tmp_path / "bins.tsv").write_text("contig\tbin\nc0\tweird/bin name\nc1\tx\nc1\ty\n")
     stats = pipelines.export_bins(spark, str(tmp_path / "c.fa"), str(tmp_path / "bins.tsv"), str(tmp_path / "out"))
     assert {tuple(r) for r in stats.collect()} == {("weird_bin_name", 1, 9), ("y", 1, 12)}
+    assert sorted(p.name for p in (tmp_path / "out/fasta").iterdir() if p.name[0] != ".") == ["weird_bin_name.fasta", "y.fasta"]
+    assert (tmp_path / "out/fasta/y.fasta").read_text() == ">c1\nRYACGTACGTAA\n" and (tmp_path / "out/bin_fasta_stats.tsv").read_text().startswith("bin\tnum_contigs\ttotal_bases\n")
+    (tmp_path / "fa").mkdir()
+    for i in range(3):
+        (tmp_path / f"fa/{2 - i}.fa").write_text("".join(f">s{2 - i}_{j}\nACGT\n" for j in range(400)))
+    many = bio.read_fasta(spark, str(tmp_path / "fa")).orderBy("idx").select("idx", "name").collect()
+    assert [tuple(r) for r in many] == [(400 * i + j, f"s{i}_{j}") for i in range(3) for j in range(400)]
+    assert bio.bam_sort_order(str(tmp_path / "a.bam")) is None and bio.sort_order(spark, str(tmp_path / "a.sam")) == "queryname"
     (tmp_path / "bad.tsv").write_text("a\tb\n1\t2\n")
     with pytest.raises(ValueError):
         bio.read_bins(spark, str(tmp_path / "bad.tsv"))
 
 
-def test_pipelines_end_to_end(spark, tmp_path):
+def test_sort_order_over_spans(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    reads = [None if x == 4 else f"r{x}" for x in rng.integers(0, 5, 200)]
+    rows = spark.createDataFrame(list(enumerate(reads)), "ordinal long, read_id string")
+    runs = {}
+    for a, b in zip([None, *reads], reads):
+        runs[b] = runs.get(b, 0) + (a != b)
+    for span in (1 << 20, 7, 1):
+        monkeypatch.setattr(hyperedges, "PROBE_SPAN", span)
+        assert {r.read_id: r.runs for r in hyperedges.sort_order_probe(rows).collect() if r.read_id} == {k: n for k, n in runs.items() if k and n > 1}
+    assert hyperedges.sort_order_probe(rows, 1).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3, 4])
+def test_kmers_by_brute_force(spark, k):
+    rng = np.random.default_rng(k)
+    seqs = {i: "".join(rng.choice(list("ACGTacgtNR"), rng.integers(0, 60))) for i in range(30)} | {99: None}
+    turn = str.maketrans("ACGT", "TGCA")
+    want = {}
+    for v, s in seqs.items():
+        for i in range(len(s or "") - k + 1 if len(s or "") >= 10 else 0):
+            w = s[i : i + k].upper()
+            if set(w) <= set("ACGT"):
+                key = (v, min(w, w.translate(turn)[::-1]))
+                want[key] = want.get(key, 0) + 1
+    df = spark.createDataFrame(list(seqs.items()), "v long, seq string")
+    assert {(r.v, r.kmer): r.cnt for r in kmers.kmer_counts(df, 10, k).collect()} == want
+
+
+def test_counters_add_up(spark):
+    f = Q.QUERIES["funnel_counters"](spark, "/root/testdata/sf0.001").first()
+    assert f.reads_total == f.reads_filtered_low_quality + f.reads_pass_segments and f.reads_pass_segments == f.reads_filtered_small + f.reads_pass_contigs
+    assert f.edges_truncated <= f.edges_yielded <= f.reads_pass_contigs
+
+
+def test_pipelines_end_to_end(spark, tmp_path, caplog):
     rng = np.random.default_rng(4)
     seqs = ["".join(rng.choice(list("ACGT"), 300, p=[0.4, 0.1, 0.1, 0.4] if i < 6 else [0.1, 0.4, 0.4, 0.1])) for i in range(12)]
     (tmp_path / "c.fa").write_text("".join(f">c{i}\n{s}\n" for i, s in enumerate(seqs)))
@@ -111,11 +155,19 @@ def test_pipelines_end_to_end(spark, tmp_path):
             lines.append(f"r{r}\t0\tc{c}\t1\t60\t1200M\t*\t0\t0\t*\t*")
     (tmp_path / "a.sam").write_text("\n".join(lines) + "\n")
     (tmp_path / "c.yml").write_text(f"inputs: {{contigs_fasta: {tmp_path}/c.fa, porec_bam: {tmp_path}/a.sam}}\noutputs: {{output_dir: {tmp_path}/out}}\nfilters: {{mapq_min: 30, min_contig_len: 200}}\nspectral: {{k: 2}}\nmultiplex: {{knn_k: 4}}\n")
+    caplog.set_level("INFO", logger="hyperweave")
     config = load_config(str(tmp_path / "c.yml"))
     for run in (pipelines.run_single, pipelines.run_multiplex):
         got = {r.contig: r.bin for r in run(spark, config).collect()}
         assert len({got[f"c{i}"] for i in range(6)}) == 1 and len({got[f"c{i}"] for i in range(6, 12)}) == 1 and len(set(got.values())) == 2
     assert load_config(str(tmp_path / "c.yml"), k=7, beta=0.25).k == 7
+    stats = json.loads((tmp_path / "out/hypergraph.stats.json").read_text())
+    assert stats["n_vertices"] == 12 and stats["n_hyperedges"] == 60 and stats["n_chunks"] >= 1
+    assert (tmp_path / "out/bins.tsv").read_text().startswith("contig\tbin\nc0\tbin_") and (tmp_path / "out/k_used.txt").read_text().strip() == "2"
+    assert "k used: 2" in caplog.text and "reads: " in caplog.text
+    (tmp_path / "c.yml").write_text((tmp_path / "c.yml").read_text().replace("mapq_min: 30", "mapq_min: 61"))
+    with pytest.raises(RuntimeError):
+        pipelines.run_single(spark, load_config(str(tmp_path / "c.yml")))
 
     from hyperweave.streaming.ingest import stream_hyperedges
 
