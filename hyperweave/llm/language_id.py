@@ -5,7 +5,8 @@ into phrases, each the longest string that occurs in the language's sample (or o
 language that needs the fewest phrases for a text's characters, fewest per character, wins.
 
 A phrase is followed by single steps through the automaton and ends where there is no step, so parsing needs its
-transitions only. They are one hash table for all languages, so every letter of every script has a number of its own.
+transitions only. Every letter of every script has a number of its own. The transitions of all languages are one hash
+table, or, where all pairs of states and letters are ``PLAIN_CELLS`` at most (64 MB), one plain table, which is faster.
 Texts are parsed in lanes side by side, a character of every lane at a time. Long texts are cut into pieces of ``PIECE``
 characters, each a lane, whose phrases are added up; a piece is entered ``WARM`` characters before it begins, where
 parsing falls in step with that of the text before (on random texts, under one phrase in 3 000 differs).
@@ -31,7 +32,7 @@ from hyperweave.llm.common import parts, table, trimmed
 
 SAMPLE_SLOTS, SAMPLE_CHARS, TEXT_CHARS = 128, 24_000, 1_200
 TOTAL_SLOTS, TOTAL_CHARS, MAX_LANGUAGES = 32_768, 1_000_000, 8_192
-PIECE, WARM, LANES = 512, 48, 32_768
+PIECE, WARM, LANES, PLAIN_CELLS = 512, 48, 32_768, 1 << 24
 UNKNOWN = "und"
 
 
@@ -72,6 +73,7 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
+LETTER_BITS = 21
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,6 +95,10 @@ class Steps:
     def place(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * SPREAD) >> self.shift).view(np.int64)
 
+    def step(self, now: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """States reached from ``now`` (a row for each text, a column for each language), or -1."""
+        return self.get((now.astype(np.int64) << LETTER_BITS | letter[:, None]).ravel()).reshape(now.shape)
+
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The state reached, or -1; keys have one dimension."""
         at = self.place(keys)
@@ -109,16 +115,24 @@ class Steps:
         return out
 
 
+class PlainSteps:
+    """The same as a table of all pairs."""
+
+    def __init__(self, keys: np.ndarray, states: np.ndarray, size: int, letters: int):
+        self.letters, self.states = letters, np.full(size * letters, -1, np.int32)
+        self.states[(keys >> LETTER_BITS) * letters + (keys & (1 << LETTER_BITS) - 1)] = states
+
+    def step(self, now: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        return self.states[now * np.int32(self.letters) + letter[:, None]]
+
+
 @dataclass
 class Model:
     languages: list[str]
     codes: np.ndarray  # code point -> letter's number, for those under its length; 1 for letters not learned
     starts: np.ndarray  # each language's start state
     first: np.ndarray  # [language, letter] -> state reached from the start, which itself where there is no such step
-    steps: Steps
-
-
-LETTER_BITS = 21
+    steps: Steps | PlainSteps
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
@@ -141,7 +155,9 @@ def fit(samples: dict[str, list[str]]) -> Model:
         reached += [base + to for s, out in enumerate(step) if s for to in out.values()]
         starts.append(base)
         base += len(step)
-    return Model(languages, codes, np.array(starts, np.int32), first, Steps(np.array(keys, np.int64), np.array(reached, np.int32)))
+    table = np.array(keys, np.int64), np.array(reached, np.int32)
+    steps = PlainSteps(*table, base, len(letters) + 2) if base * (len(letters) + 2) <= PLAIN_CELLS else Steps(*table)
+    return Model(languages, codes, np.array(starts, np.int32), first, steps)
 
 
 @lru_cache(1)
@@ -201,7 +217,7 @@ def count_phrases(model: Model, numbers: np.ndarray, offsets: np.ndarray) -> np.
             while live and left[live - 1] <= i:
                 live -= 1
             now, c = states[:live], numbers[where[:live] + i]
-            reached = model.steps.get((now.astype(np.int64) << LETTER_BITS | c[:, None]).ravel()).reshape(live, languages)
+            reached = model.steps.step(now, c)
             # no step (as at the start): a phrase begins with this character, if the language has it at all
             fresh = reached < 0
             states[:live] = np.where(fresh, model.first[every, c[:, None]], reached)

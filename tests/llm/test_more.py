@@ -133,9 +133,15 @@ def test_long_texts_are_parsed_as_one(monkeypatch):
     rng = random.Random(6)
     word = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 6))) for _ in range(40)]
     text = lambda n: " ".join(rng.choice(word) for _ in range(n))
-    model = language_id.fit({"aa": [text(2000)], "bb": [text(2000)[::-1]]})
+    sample = text(2000), text(2000)[::-1]
+    model = language_id.fit({"aa": [sample[0]], "bb": [sample[1]]})
     numbers, offsets = language_id.letters_of(pa.array([text(8000), text(3)]), model.codes)
     got = language_id.count_phrases(model, numbers, offsets)
+    with monkeypatch.context() as m:  # the hash table gives the same
+        m.setattr(language_id, "PLAIN_CELLS", 0)
+        hashed = language_id.fit({"aa": [sample[0]], "bb": [sample[1]]})
+    assert isinstance(model.steps, language_id.PlainSteps) and isinstance(hashed.steps, language_id.Steps)
+    assert (language_id.count_phrases(hashed, numbers, offsets) == got).all()
     monkeypatch.setattr(language_id, "PIECE", 1 << 30)
     whole = language_id.count_phrases(model, numbers, offsets)
     assert (abs(got - whole) <= whole / 1000).all() and (got[1] == whole[1]).all()
