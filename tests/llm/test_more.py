@@ -4,13 +4,14 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hyperweave.llm import common, language_id, labelled, multi_index, packing, pii, quality_gam, quality_rules, textkernel, url_filter
+from hyperweave.llm import common, language_id, labelled, license_scan, multi_index, packing, pii, quality_gam, quality_rules, textkernel, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -236,3 +237,29 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError):
         common.scratch_dir(Session())
+
+
+def test_license_templates(spark, tmp_path):
+    """Bodies and headers, whole, shortened, in long texts, twice, against SQL over the same documents."""
+    known = license_scan.TEMPLATES
+    texts = [notice for _, notice in known] + [" ".join(n.split()[: len(n.split()) * 9 // 10]) for _, n in known] + [" ".join(n.split()[: len(n.split()) // 2]) for _, n in known]
+    texts += ["word " * 3000 + n.upper() + " tail " * 700 + n for _, n in known] + [None, "", "Released under"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = license_scan.op6_license_scan(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(license_scan.OP6_SQL).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {(i, license) for i, (license, _) in enumerate(known)} <= {(r[0], r[1]) for r in got}
+
+
+def test_license_many_templates(spark, monkeypatch):
+    """Hundreds of templates, broadcast and joined by shuffle, find the same; bits set by chance change nothing."""
+    templates = [(f"L{i}", " ".join(f"w{i}x{j % 90}" for j in range(20 + i))) for i in range(300)]
+    docs = spark.createDataFrame([(i, "some words before it " + n) for i, (_, n) in enumerate(templates)], "doc_id long, text string")
+    want = {(i, f"L{i}") for i in range(300)}
+    assert {(r.doc_id, r.license) for r in license_scan.scan_licenses(docs, templates).collect()} == want
+    monkeypatch.setattr(license_scan, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(license_scan, "bitmap", lambda _: [-1] * 16)
+    assert {(r.doc_id, r.license) for r in license_scan.scan_licenses(docs.where("doc_id < 40"), templates[:40]).collect()} == {x for x in want if x[0] < 40}
