@@ -8,8 +8,8 @@ the chance to miss all bands is at most 0.81 ** 64, about one in a million. What
 of the bands in which it does.
 
 A band's value is one of the template's shingles' hashes, so only windows that hold some template's shingle can meet
-any. A bitmap of the templates' shingles, a literal of 16 to 32 bits for each, leaves others out before MinHash; a bit
-set by chance costs work and changes no result.
+any. A Bloom filter of the templates' shingles, a literal of 32 to 64 bits for each, leaves others out before MinHash;
+what passes by chance costs work and changes no result.
 
 Scale: one narrow stage up to the matches, which are few and are pre-aggregated; the work for a text is linear in its
 length for each width of windows (a power of two, so few) and hardly depends on the number of templates. Templates are
@@ -19,6 +19,7 @@ is counted (at most 32 MB of shingles), and joined by shuffle beyond it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -89,6 +90,7 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 SHINGLE_WORDS, PER_CENT, BANDS, BROADCAST_SHINGLES = 5, 80, 64, 1 << 22
+SHIFTS = (0, 13, 26, 39)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -124,18 +126,25 @@ def window_words(shingles: int) -> int:
 
 
 def bitmap(shingles: list[int]) -> list[int]:
-    """Longs of 64 bits each, a power of two of them, in which a shingle sets the bit that its lowest bits number."""
-    size = max(1024, 1 << (16 * max(1, len(shingles)) - 1).bit_length())
+    """Longs of 64 bits each, a power of two of them: a Bloom filter in which a shingle sets the bits that its bits from
+    each of ``SHIFTS`` on number. At 32 to 64 bits a shingle, one other shingle in 5 000 to 70 000 finds all its bits set."""
+    size = max(1024, 1 << (32 * max(1, len(shingles)) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
-    bits[np.array(shingles, np.int64) & (size - 1)] = 1
+    for shift in SHIFTS:
+        bits[(np.array(shingles, np.int64) >> shift) & (size - 1)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64).tolist()
 
 
 def maybe_known(bits: list[int]) -> Callable[[Column], Column]:
-    """A test of an array of shingles: whether one of them has its bit set."""
+    """A test of an array of shingles: whether one of them has all its bits set; mostly the first bit decides."""
     held = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # folded to one literal
-    place = lambda s: F.get(held, F.shiftright(s, 6).bitwiseAND(F.lit(len(bits) - 1)).cast("int"))
-    return lambda shingles: F.exists(shingles, lambda s: F.getbit(place(s), s.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+    def known(s: Column) -> Column:
+        places = [F.shiftright(s, shift) for shift in SHIFTS]
+        tests = [F.getbit(F.get(held, F.shiftright(x, 6).bitwiseAND(F.lit(len(bits) - 1)).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1 for x in places]
+        return functools.reduce(lambda x, y: x & y, tests)
+
+    return lambda shingles: F.exists(shingles, known)
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
