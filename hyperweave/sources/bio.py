@@ -1,23 +1,15 @@
 """FASTA, SAM and BAM scans, and tables of bins. All give records an ordinal: order in the file carries meaning.
 
-SAM text is split by Spark; BAM, a chain of gzip members, is decoded by a Python data source, one partition a file.
+SAM text is split by Spark; BAM by a Python data source.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
-import re
-import struct
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from hyperweave import functions as fn
-
-ALIGNMENTS = "file string, ordinal long, read_id string, flag int, contig string, mapq int, qlen int, qaln int"
+from hyperweave.sources import bam
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -50,79 +42,19 @@ def sam_sort_order(spark: SparkSession, path: str) -> DataFrame:
     return head.where("sort_order <> ''")
 
 
-def bam_sort_order(path: str) -> str | None:
-    """The order that a BAM file's header declares."""
-    with gzip.open(path, "rb") as f:
-        if f.read(4) != b"BAM\1":
-            raise ValueError("not a BAM file")
-        header = f.read(struct.unpack("<i", f.read(4))[0]).decode(errors="replace")
-    found = re.search(r"^@HD\t(?:.*\t)?SO:(\w+)", header, re.MULTILINE)
-    return found[1] if found else None
-
-
 def sort_order(spark: SparkSession, path: str) -> str | None:
     """The order that headers declare: of several files only one that all share."""
     if path.endswith(".bam"):
-        found = {bam_sort_order(p) for p in path.split(",")}
+        found = {bam.sort_order(p) for p in path.split(",")}
     else:
         found = {r.sort_order for r in sam_sort_order(spark, path).select("sort_order").distinct().collect()}
     return found.pop() if len(found) == 1 else None
 
 
-def decode_bam(data: io.BufferedIOBase) -> Iterator[tuple]:
-    """(ordinal, read_id, flag, contig, mapq, qlen, qaln) of each record of an uncompressed BAM stream."""
-
-    def ints(n: int) -> tuple:
-        return struct.unpack(f"<{n}i", data.read(4 * n))
-
-    if data.read(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    data.read(ints(1)[0])
-    names = []
-    for _ in range(ints(1)[0]):
-        names.append(data.read(ints(1)[0])[:-1].decode())
-        ints(1)
-    ordinal = 0
-    while head := data.read(4):
-        record = data.read(struct.unpack("<i", head)[0])
-        ref, _, name_len, mapq, _, n_ops, flag, seq_len = struct.unpack_from("<iiBBHHHi", record)
-        ops = struct.unpack_from(f"<{n_ops}I", record, 32 + name_len)
-        total = lambda kinds: sum(o >> 4 for o in ops if "MIDNSHP=X"[o & 15] in kinds)
-        yield ordinal, record[32 : 31 + name_len].decode(), flag, names[ref] if ref >= 0 else "*", mapq, seq_len or total("MIS=X"), total("MI=X")
-        ordinal += 1
-
-
-class BamDataSource(DataSource):
-    """``spark.read.format("hyperweave_bam").option("paths", "a.bam,b.bam").load()``; files on storage all executors mount."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "hyperweave_bam"
-
-    def schema(self) -> str:
-        return ALIGNMENTS
-
-    def reader(self, schema) -> DataSourceReader:
-        return BamReader((self.options.get("paths") or self.options["path"]).split(","))
-
-
-class BamReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with gzip.open(partition.value, "rb") as f:
-            for record in decode_bam(io.BufferedReader(f, 1 << 20)):
-                yield (partition.value, *record)
-
-
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+def read_alignments(spark: SparkSession, path: str, split_bytes: int = bam.SPLIT_BYTES) -> DataFrame:
     if path.endswith(".bam"):
-        spark.dataSource.register(BamDataSource)
-        return spark.read.format("hyperweave_bam").option("paths", path).load()
+        spark.dataSource.register(bam.BamDataSource)
+        return spark.read.format("hyperweave_bam").option("paths", path).option("splitBytes", split_bytes).load()
     return read_sam(spark, path)
 
 

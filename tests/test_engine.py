@@ -11,7 +11,7 @@ from hyperweave import queries as Q
 from hyperweave.config import Filters, load_config
 from hyperweave.operators import cluster, hyperedges, incidence, kmers, knn, spectral
 from hyperweave.plans import pipelines
-from hyperweave.sources import bio
+from hyperweave.sources import bam, bio
 
 
 @pytest.mark.parametrize("name", list(Q.SQL))
@@ -104,7 +104,7 @@ def test_sources(spark, tmp_path):
         (tmp_path / f"fa/{2 - i}.fa").write_text("".join(f">s{2 - i}_{j}\nACGT\n" for j in range(400)))
     many = bio.read_fasta(spark, str(tmp_path / "fa")).orderBy("idx").select("idx", "name").collect()
     assert [tuple(r) for r in many] == [(400 * i + j, f"s{i}_{j}") for i in range(3) for j in range(400)]
-    assert bio.bam_sort_order(str(tmp_path / "a.bam")) is None and bio.sort_order(spark, str(tmp_path / "a.sam")) == "queryname"
+    assert bam.sort_order(str(tmp_path / "a.bam")) is None and bio.sort_order(spark, str(tmp_path / "a.sam")) == "queryname"
     (tmp_path / "bad.tsv").write_text("a\tb\n1\t2\n")
     with pytest.raises(ValueError):
         bio.read_bins(spark, str(tmp_path / "bad.tsv"))
