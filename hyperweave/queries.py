@@ -10,7 +10,8 @@ from hyperweave import functions as fn
 from hyperweave.config import Filters
 from hyperweave.operators import cluster, hyperedges, incidence, kmers, knn, spectral
 from hyperweave.plans import pipelines
-from hyperweave.sources import sinks, tables
+from hyperweave.sources import bam, bio, scratch, sinks, tables
+from hyperweave.streaming import ingest
 
 FILTERS = Filters(mapq_min=20, segment_min_bases=500, min_segments_per_read=2, max_hyperedge_size=20)
 TRUNCATING = Filters(mapq_min=20, segment_min_bases=500, min_segments_per_read=2, max_hyperedge_size=4)  # to show truncation
@@ -152,6 +153,90 @@ def q_multiplex_bins(s, d):
     return labelled(cluster.kmeans(cluster.frame(s, spectral.fuse_layers(u)), 6, n_init=2), 6)
 
 
+def records(s: SparkSession, d: str) -> DataFrame:
+    """The alignments as fields of file records: parts are contigs c<number>; an alignment longer than its read lengthens it."""
+    clipped = F.greatest(F.col("qlen") - F.col("qaln"), F.lit(0))
+    cigar = F.concat(F.col("qaln"), F.lit("M"), F.when(clipped > 0, F.concat(clipped, F.lit("S"))).otherwise(""))
+    rows = aln(s, d).select(F.col("read_id").cast("string").alias("read_id"), "flag", F.concat(F.lit("c"), "contig").alias("contig"), "mapq", cigar.alias("cigar"), "ordinal")
+    return rows.repartition(4, "read_id").sortWithinPartitions("read_id", "ordinal")
+
+
+def sam_folder(s: SparkSession, d: str) -> str:
+    folder = scratch.shared_folder(s, "sam")
+    line = F.concat_ws("\t", "read_id", "flag", "contig", F.lit("1"), "mapq", "cigar", *[F.lit(x) for x in ("*", "0", "0", "*", "*")])
+    records(s, d).select(line.alias("value")).write.text(folder)
+    return folder
+
+
+def named_parts(s: SparkSession, d: str) -> DataFrame:
+    return vertices(s, d).select(F.col("v").alias("idx"), F.concat(F.lit("c"), "v").alias("name"))
+
+
+def q_sam_scan(s, d):
+    return bio.read_alignments(s, sam_folder(s, d)).drop("file", "ordinal")
+
+
+def q_bam_scan(s, d):
+    """Through several files, each read in splits."""
+    contigs = [r.name for r in named_parts(s, d).orderBy("idx").select("name").collect()]  # contigs, as in a file's header
+    paths = bam.write_bam(records(s, d), scratch.shared_folder(s, "bam").removeprefix("file:"), contigs)
+    return bio.read_alignments(s, ",".join(paths), split_bytes=1 << 18).drop("file", "ordinal")
+
+
+def q_file_hyperedges(s, d):
+    """Hyperedges of a SAM file, members in the order of its records."""
+    return edge_rows(hyperedges.hyperedges(bio.read_alignments(s, sam_folder(s, d)), named_parts(s, d), FILTERS).withColumn("edge_id", F.col("edge_id").cast("long")))
+
+
+def q_stream_hyperedges(s, d):
+    """The same from a stream of files."""
+    out = scratch.shared_folder(s, "stream")
+    ingest.stream_hyperedges(s, sam_folder(s, d), named_parts(s, d), FILTERS, f"{out}/edges", f"{out}/progress").awaitTermination()
+    return edge_rows(s.read.parquet(f"{out}/edges").withColumn("edge_id", F.col("edge_id").cast("long")))
+
+
+def q_fasta_scan(s, d):
+    """Documents' sequences as a FASTA file in lines of 60, in the order of documents."""
+    folder = scratch.shared_folder(s, "fasta")
+    sinks.fasta_records(bin_input(s, d).withColumn("bin", F.lit("all"))).repartitionByRange(4, "idx").sortWithinPartitions("idx").select(F.col("record").alias("value")).write.text(folder)
+    return bio.read_fasta(s, folder).select("idx", "name", "description", "seq", "length")
+
+
+def q_bins_scan(s, d):
+    path = f"{scratch.shared_folder(s, 'bins')}/bins.tsv"
+    sinks.write_tsv(sinks.bins(named_parts(s, d), labels_of_parts(s, d)), path)
+    return bio.read_bins(s, path)
+
+
+def q_stored_matvec(s, d):
+    """The solver's own product, on hyperedges read back from files."""
+    folder = scratch.shared_folder(s, "edges")
+    sinks.write_edges(edges(s, d), folder, per_file=1000)
+    inc, numbers = incidence.dense(incidence.incidence(s.read.parquet(folder)), vertices(s, d))
+    numbers = numbers.persist()
+    rows = spectral.hyperedge_rows(inc, incidence.vertex_degrees(inc, numbers.select(F.col("idx").alias("v"))))
+    x = numbers.orderBy("idx").select("v", x_of()).toPandas()  # a vector over the vertices, as the solver holds
+    y = x.x.to_numpy()[:, None] - spectral.multiply(spectral.packed(rows), x.x.to_numpy()[:, None])
+    x["y"] = y[:, 0]
+    return s.createDataFrame(x[["v", "y"]], "v long, y double").select("v", r6("y"))
+
+
+def q_planted_groups(s, d):
+    """Bins, their number chosen too, of a hypergraph that falls into five parts: parts that a customer orders and whose
+    numbers leave the same remainder. Bins are named by their first vertex."""
+    lines = tables.table(s, d, "lineitem").join(tables.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sets = lines.groupBy("o_custkey", F.pmod("l_partkey", F.lit(5)).alias("g")).agg(F.sort_array(F.collect_set("l_partkey")).alias("members"))
+    planted = sets.select(F.xxhash64("o_custkey", "g").alias("edge_id"), "members", F.lit(1.0).alias("w"))
+    inc, numbers = incidence.dense(incidence.incidence(planted).persist(), vertices(s, d))
+    numbers = numbers.persist()
+    rows = spectral.hyperedge_rows(inc, incidence.vertex_degrees(inc, numbers.select(F.col("idx").alias("v"))))
+    k, u = cluster.auto_k(rows, numbers.count(), k_min=2, k_max=12, n_init=5)
+    labels = cluster.kmeans(cluster.frame(s, u), k, n_init=10).withColumnRenamed("v", "idx")
+    found = numbers.join(labels, "idx").select("v", "cluster")
+    first = found.groupBy("cluster").agg(F.min("v").alias("first"))
+    return found.join(first, "cluster").select("v", F.lit(k).cast("long").alias("k"), "first")
+
+
 def self_test(s):
     inc = incidence.incidence(pipelines.self_test_edges(s))
     return inc, incidence.vertex_degrees(inc, s.range(6).select(F.col("id").alias("v")))
@@ -197,6 +282,14 @@ QUERIES = {
     "spectral_bins": q_spectral_bins,
     "auto_k_bins": q_auto_k_bins,
     "multiplex_bins": q_multiplex_bins,
+    "planted_groups": q_planted_groups,
+    "sam_scan": q_sam_scan,
+    "bam_scan": q_bam_scan,
+    "file_hyperedges": q_file_hyperedges,
+    "stream_hyperedges": q_stream_hyperedges,
+    "fasta_scan": q_fasta_scan,
+    "bins_scan": q_bins_scan,
+    "stored_matvec": q_stored_matvec,
 }
 
 # The same in SQL, by common table expressions that build on one another.
@@ -244,6 +337,7 @@ _A, _A_SOME = _ALN.format(**_PARTS), _ALN.format(**_SOME)
 _E4, _E20 = _A + _EDGES.format(cap=4), _A + _EDGES.format(cap=20)
 _L = _LAP.format(n="", inc="inc", deg="deg")
 _ROWS = f"SELECT edge_id, k, {_r('r')} AS r, {_r('q_read')} AS q_read, {_r('q_prime')} AS q_prime, {_r('w')} AS w, members FROM e"
+_RECORDS = " SELECT CAST(read_id AS VARCHAR) AS read_id, flag, 'c' || contig AS contig, mapq, CAST(greatest(qlen, qaln) AS INT) AS qlen, CAST(qaln AS INT) AS qaln FROM a"
 _SUPRA = _with(_ALN.format(**_FOLDED) + _EDGES.format(cap=20), _L, ", ", _KNN, _LAP.format(n="c", inc="cinc", deg="cdeg"), """, n AS (SELECT count(*) AS n FROM embeddings),
 supra AS (SELECT i, j, sum(val) AS val FROM (SELECT i, j, val FROM l UNION ALL SELECT i + n, j + n, val FROM cl, n UNION ALL SELECT vec_id, vec_id, 0.5e0 FROM embeddings UNION ALL SELECT vec_id + n, vec_id + n, 0.5e0 FROM embeddings, n
 UNION ALL SELECT vec_id, vec_id + n, -0.5e0 FROM embeddings, n UNION ALL SELECT vec_id + n, vec_id, -0.5e0 FROM embeddings, n) GROUP BY i, j) """)
@@ -292,5 +386,13 @@ SQL = {
     "spectral_bins": "SELECT p_partkey AS v, true AS valid FROM part",
     "auto_k_bins": "SELECT vec_id AS v, true AS valid FROM embeddings",
     "multiplex_bins": "SELECT vec_id AS v, true AS valid FROM embeddings",
+    "planted_groups": "SELECT p_partkey AS v, 5 AS k, min(p_partkey) OVER (PARTITION BY p_partkey % 5) AS first FROM part",
+    "sam_scan": _with(_A, _RECORDS),
+    "bam_scan": _with(_A, _RECORDS),
+    "file_hyperedges": _with(_E20, " ", _ROWS),
+    "stream_hyperedges": _with(_E20, " ", _ROWS),
+    "fasta_scan": _with(_BINS, " SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, 'ctg' || idx AS name, 'ctg' || idx AS description, seq, length(seq) AS length FROM b WHERE bin IS NOT NULL"),
+    "bins_scan": "SELECT 'c' || p_partkey AS contig, 'bin_' || (p_partkey % 7) AS bin FROM part",
     "self_test_bins": "SELECT 'c' || i AS contig, CASE WHEN i < 3 THEN 'bin_0' ELSE 'bin_1' END AS bin FROM range(6) AS t(i)",
 }
+SQL["stored_matvec"] = SQL["laplacian_matvec"]
