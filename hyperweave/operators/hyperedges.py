@@ -83,12 +83,16 @@ PROBE_SPAN = 1 << 20
 def sort_order_probe(alignments: DataFrame, first: int | None = None) -> DataFrame:
     """Reads that come in more than one run of consecutive records (none: the file is grouped by read).
 
-    ``first``: look at so many records of a file only, as a probe. Records are compared within spans of ``PROBE_SPAN``
+    ``first``: look at so many records at the beginning of each file only, as a probe. Records are compared within spans of ``PROBE_SPAN``
     ordinals; a read that goes on from one span to the next is corrected by the spans' ends, a row for each."""
     files = [c for c in ("file",) if c in alignments.columns]
     rows = alignments.select(*files, "read_id", "ordinal", F.floor(F.col("ordinal") / PROBE_SPAN).alias("span"))
-    if first is not None:
-        rows = rows.where(F.col("ordinal") < first)
+    if first is not None:  # ordinals of a file's first split go on without gaps, those of others are far higher
+        begin = F.lit(0)
+        if files:
+            rows = rows.join(rows.groupBy(*files).agg(F.min("ordinal").alias("begin")), "file")
+            begin = F.col("begin")
+        rows = rows.where(F.col("ordinal") - begin < first)
     before = F.lag("read_id").over(Window.partitionBy(*files, "span").orderBy("ordinal"))
     starts = rows.select(*files, "read_id", (~F.col("read_id").eqNullSafe(before)).cast("long").alias("starts"))
     ends = rows.groupBy(*files, "span").agg(F.min_by(F.struct("read_id"), "ordinal").alias("head"), F.max_by(F.struct("read_id"), "ordinal").alias("tail"))

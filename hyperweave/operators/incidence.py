@@ -51,15 +51,19 @@ def multiply_coo(matrix: DataFrame, x: DataFrame) -> DataFrame:
     return x.select(F.col("v").alias("i")).join(found, "i", "left").select("i", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
-def dense(inc: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(incidence over vertices 0 .. n-1, (v, idx) in order of v): for vertices whose numbers have gaps.
-
-    Numbers are ranks within ranges of ``v`` plus the sizes of the ranges before."""
+def numbered(vertices: DataFrame) -> DataFrame:
+    """(v, idx): each vertex with its place from 0 in order of v. Ranks within ranges of ``v`` plus the sizes of the
+    ranges before, a row for each, so no task sorts all."""
     ranged = vertices.select("v", F.floor(F.col("v") / 65536).alias("range"))
     sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row for each range
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
     ranked = ranged.select("v", "range", F.row_number().over(Window.partitionBy("range").orderBy("v")).alias("rank"))
-    numbers = ranked.join(before, "range").select("v", (F.col("before") + F.col("rank") - 1).cast("long").alias("idx"))
+    return ranked.join(before, "range").select("v", (F.col("before") + F.col("rank") - 1).cast("long").alias("idx"))
+
+
+def dense(inc: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(incidence over vertices 0 .. n-1, (v, idx)): for vertices whose numbers have gaps."""
+    numbers = numbered(vertices)
     return inc.join(numbers, "v").drop("v").withColumnRenamed("idx", "v"), numbers
 
 

@@ -67,11 +67,10 @@ def _write_bins(contigs: DataFrame, labels: DataFrame, out: str, k: int | None)
 
 def run_multiplex(spark: SparkSession, c: Config) -> DataFrame:
     """Bins by contacts and composition together; contigs shorter than the least length take no part."""
-    from pyspark.sql import Window
-
     out = f"{c.output_dir}/multiplex"
     long = bio.read_fasta(spark, c.contigs_fasta).where(F.length("seq") >= c.filters.min_contig_len)
-    contigs = long.withColumn("idx", (F.row_number().over(Window.orderBy("idx")) - 1).cast("long")).persist()
+    numbers = incidence.numbered(_vertices(long)).withColumnRenamed("idx", "number")
+    contigs = long.join(numbers, F.col("idx") == F.col("v")).withColumn("idx", F.col("number")).drop("v", "number").persist()
     n = contigs.count()
     if not n:
         raise ValueError("no contigs of the least length")

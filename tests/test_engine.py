@@ -121,6 +121,9 @@ def test_sort_order_over_spans(spark, monkeypatch):
         monkeypatch.setattr(hyperedges, "PROBE_SPAN", span)
         assert {r.read_id: r.runs for r in hyperedges.sort_order_probe(rows).collect() if r.read_id} == {k: n for k, n in runs.items() if k and n > 1}
     assert hyperedges.sort_order_probe(rows, 1).count() == 0
+    files = spark.createDataFrame([(f, (f << 33) + i, r) for f in range(2) for i, r in enumerate("aab" if f == 0 else "abac")], "file int, ordinal long, read_id string")
+    assert [tuple(r) for r in hyperedges.sort_order_probe(files, 3).collect()] == [(1, "a", 2)]
+    assert hyperedges.sort_order_probe(files, 2).isEmpty()
 
 
 @pytest.mark.parametrize("k", [1, 3, 4])
