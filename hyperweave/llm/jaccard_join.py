@@ -43,7 +43,7 @@ from hyperweave.llm.components import components
 PER_CENT = 80
 BLOCK_FLOOR, FREQUENT_FLOOR, FREQUENT_MAX = 4, 16, 1 << 18
 LIST_PAIRS, UNIT_DOCS, UNIT_SHINGLES, PIVOTS, HOT = 32, 2048, 1 << 20, 16, 4096
-VERIFY_COST, CHANCE_HITS = 4.0, 0.1
+VERIFY_COST, CHANCE_HITS, FEW = 4.0, 0.1, 8
 FILTER_BITS = 1 << 24
 U = np.uint64
 
@@ -223,8 +223,8 @@ class Forest:
         return sorted({(least[r], x) for r, x in zip(roots, ids.tolist()) if least[r] != x and len(within[r]) > 1})
 
 
-def near_pairs(sizes: np.ndarray, bits: list[np.ndarray], forest: Forest) -> Iterator[tuple[int, int]]:
-    """Pairs, not yet in one tree, whose bitmaps don't exclude a link; ``sizes`` ascend, none is 0.
+def near_pairs(sizes: np.ndarray, bits: list[np.ndarray], forest: Forest) -> Iterator[tuple[int, list[int]]]:
+    """Each i with later ones, not in its tree when it comes, whose bitmaps don't exclude a link; ``sizes`` ascend, none is 0.
 
     Sets are linked where 100 |both| >= 80 |either|, that is where (100 + 80) |difference| <= (100 - 80) (m + n).
     """
@@ -241,9 +241,11 @@ def near_pairs(sizes: np.ndarray, bits: list[np.ndarray], forest: Forest) -> Ite
             folded[width] = level
         level = folded[width]
         apart = np.bitwise_count(level[i + 1 : end] ^ level[i]).sum(1, dtype=np.int64)
-        for j in (np.flatnonzero((100 + PER_CENT) * apart <= (100 - PER_CENT) * (sizes[i] + sizes[i + 1 : end])) + i + 1).tolist():
-            if forest.find(i) != forest.find(j):
-                yield i, j
+        near = (np.flatnonzero((100 + PER_CENT) * apart <= (100 - PER_CENT) * (sizes[i] + sizes[i + 1 : end])) + i + 1).tolist()
+        tree = forest.find(i)
+        near = [j for j in near if forest.find(j) != tree]
+        if near:
+            yield i, near
 
 
 def groups_within(ids: np.ndarray, known: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -251,11 +253,35 @@ def groups_within(ids: np.ndarray, known: np.ndarray, sizes: np.ndarray, bits: l
     order = np.lexsort((ids, sizes))
     forest = Forest(len(ids))
     forest.join_alike(known[order])
-    for i, j in near_pairs(sizes[order], [bits[i] for i in order], forest):
-        forest.join(i, j)
+    for i, near in near_pairs(sizes[order], [bits[i] for i in order], forest):
+        for j in near:
+            forest.join(i, j)
     return forest.stars(ids[order], known[order])
 
 
+class Shared:
+    """Sizes of what a set shares with others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.places, self.marks = sets, None, None
+
+    def sizes(self, i: int, others: list[int]) -> np.ndarray:
+        if len(others) <= FEW:
+            return np.array([self._search(i, j) for j in others], np.int64)
+        if self.places is None:  # members are numbered once, then a set is marked and the others look theirs up
+            numbers = np.unique(np.concatenate(self.sets), return_inverse=True)[1].astype(np.int32)
+            self.places, self.marks = np.split(numbers, np.cumsum([len(s) for s in self.sets])[:-1]), np.zeros(int(numbers.max()) + 1, bool)
+        self.marks[self.places[i]] = True
+        found = self.marks[np.concatenate([self.places[j] for j in others])]
+        self.marks[self.places[i]] = False
+        ends = np.cumsum([len(self.sets[j]) for j in others])
+        return np.add.reduceat(found, ends - [len(self.sets[j]) for j in others], dtype=np.int64)
+
+    def _search(self, i: int, j: int) -> int:
+        a, b = self.sets[i], self.sets[j]
+        return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
 def links_within(ids: np.ndarray, known: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets and of known components, as (smallest id of the tree, id)."""
     order = np.array(sorted((i for i in range(len(ids)) if len(sets[i])), key=lambda i: (len(sets[i]), ids[i])), np.int64)
@@ -263,11 +289,17 @@ def links_within(ids: np.ndarray, known: np.ndarray, sets: list[np.ndarray]) ->
     sizes = np.array([len(s) for s in sets], np.int64)
     forest = Forest(len(ids))
     forest.join_alike(known)
-    for i, j in near_pairs(sizes, [bitmap(s) for s in sets], forest):
-        at = np.minimum(np.searchsorted(sets[j], sets[i]), sizes[j] - 1)
-        both = int((sets[j][at] == sets[i]).sum())
-        if 100 * both >= PER_CENT * (sizes[i] + sizes[j] - both):
-            forest.join(i, j)
+    shared = Shared(sets)
+    for i, near in near_pairs(sizes, [bitmap(s) for s in sets], forest):
+        at, step = 0, 1
+        while at < len(near):  # ever more at once: those that a link has joined meanwhile are left out
+            tree = forest.find(i)
+            some = [j for j in near[at : at + step] if forest.find(j) != tree]
+            at, step = at + step, 2 * step
+            if some:
+                both = shared.sizes(i, some)
+                for j in np.array(some)[100 * both >= PER_CENT * (sizes[i] + sizes[some] - both)].tolist():
+                    forest.join(i, j)
     return forest.stars(ids, known)
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hyperweave.llm import common, language_id, labelled, license_scan, multi_index, packing, pii, quality_gam, quality_rules, textkernel, url_filter
+from hyperweave.llm import common, jaccard_join, language_id, labelled, license_scan, multi_index, packing, pii, quality_gam, quality_rules, textkernel, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -263,3 +263,32 @@ def test_license_many_templates(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "BROADCAST_SHINGLES", 0)
     monkeypatch.setattr(license_scan, "bitmap", lambda _: [-1] * 16)
     assert {(r.doc_id, r.license) for r in license_scan.scan_licenses(docs.where("doc_id < 40"), templates[:40]).collect()} == {x for x in want if x[0] < 40}
+
+
+@pytest.mark.parametrize("few", [0, 8, 10**6])
+def test_links_within_by_brute_force(monkeypatch, few):
+    """One at a time or many at once, the trees are those of all pairs."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    rng = np.random.default_rng(few)
+    for _ in range(60):
+        n, base, sets = int(rng.integers(1, 60)), rng.integers(0, 2**63, (3, 40), dtype=np.uint64), []
+        for _ in range(n):
+            s = base[rng.integers(0, 3)][: rng.integers(0, 41)].copy()
+            changed = rng.random(len(s)) < rng.choice([0, 0.05, 0.12])
+            s[changed] = rng.integers(0, 2**63, changed.sum(), dtype=np.uint64)
+            sets.append(np.unique(s))
+        ids = rng.permutation(n)
+        up = {x: x for x in ids.tolist()}
+
+        def root(x):
+            while up[x] != x:  # noqa: B023
+                x = up[x]  # noqa: B023
+            return x
+
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = root(int(ids[i])), root(int(ids[j]))
+                    up[max(a, b)] = min(a, b)
+        assert jaccard_join.links_within(ids, ids.copy(), sets) == sorted((root(x), x) for x in up if root(x) != x)
