@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART_BYTES, PART_ROWS = 1 << 20, 1024
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables in the shared folder: ``write`` cuts a lineage, survives lost executors. What is not kept goes at the end.
+    """Tables in the shared folder: ``write`` cuts a lineage, survives lost executors. What is not kept goes at the end,
+    or before by ``drop``. The shuffle files of a write go as soon as it is done, not when the driver collects its garbage.
 
     A lazy result needs the tables that it reads; those are named in ``keep`` and stay until ``clean``.
     """
@@ -47,11 +49,23 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(SHUFFLE_CLEANUP)
+        conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(SHUFFLE_CLEANUP, before)
         if not keep:
             self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names that nothing reads any more."""
+        gone = [p for p in self.paths if p.rsplit("/", 1)[1].rsplit("-", 1)[0] in names]
+        for path in gone:
+            delete(self.spark, path)
+        self.paths = [p for p in self.paths if p not in gone]
+
     def __enter__(self) -> Scratch:
         return self
 

@@ -376,12 +376,27 @@ def _links(units: DataFrame, full: DataFrame, docs: DataFrame, scratch: Scratch)
     return scratch.write(texts.groupBy("unit").applyInArrow(verify, "a long, b long"), "links")
 
 
-def _wanted_texts(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """``docs`` without most of those that no unit wants: a bitmap of fixed size, before the join proper."""
+def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` with ``marked``: true for every doc_id of ``wanted``, and for few others. A bitmap of fixed size."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    cells = units.select(bit("doc_id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
-    marked = docs.withColumn("bit", bit("doc_id")).withColumn("cell", F.shiftright("bit", 6)).join(F.broadcast(cells), "cell")
-    return marked.where(F.expr("(shiftrightunsigned(bits, cast(bit & 63 as int)) & 1L) = 1L")).select("doc_id", "text")
+    cells = wanted.select(bit("doc_id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+    found = docs.withColumn("bit", bit("doc_id")).withColumn("cell", F.shiftright("bit", 6)).join(F.broadcast(cells), "cell", "left")
+    return found.withColumn("marked", F.expr("bits IS NOT NULL AND (shiftrightunsigned(bits, cast(bit & 63 as int)) & 1L) = 1L")).drop("bit", "cell", "bits")
+
+
+def _wanted_texts(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """``docs`` without most of those that no unit wants, before the join proper."""
+    return _marked(docs, units).where("marked").select("doc_id", "text")
+
+
+def _without_copies(full: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``full`` that stand for their class. Only rows that may be copies are shuffled with their prefixes (an
+    anti join would be pushed below the bitmap, and shuffle all)."""
+    keys = ["d1", "d2", "n_shingles", "doc_id"]
+    copies = scratch.write(full.select(keys).join(classes, keys[:3]).where("doc_id <> rep").select(keys).distinct(), "copies")
+    marked = _marked(full.drop("bits"), copies)
+    sure, open_ = marked.where("NOT marked"), marked.where("marked")
+    return sure.unionAll(open_.join(copies.withColumn("copy", F.lit(True)), keys, "left").where("copy IS NULL").select(sure.columns)).drop("marked")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -400,13 +415,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         table1 = scratch.write(_prefixes(docs, *frequent_shingles(docs)), "prefixes", keep=True)
         full = table1.where("n_shingles > 0 AND doc_id IS NOT NULL")
         classes = scratch.write(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes", keep=True)
-        reps = full.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep"), "matches", "prefix", "hot").join(classes, ["d1", "d2", "n_shingles", "rep"])
-        reps = reps.select(F.col("rep"), F.col("n_shingles").cast("int").alias("size"), "matches", "prefix", "hot")
+        reps = _without_copies(full, classes, scratch).select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("size"), "matches", "prefix", "hot")
         postings = reps.select(F.explode("prefix").alias("shingle"), "rep", "size", "matches")
         met = postings.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle", "rep").mapInArrow(trimmed(meet), "kind byte, a long, b long, need int")
         hot = _hot_members(reps.where(F.size("hot") > 0).select(F.explode("hot").alias("shingle"), "rep"))
         sizes = full.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
         members = _members(scratch.write(met, "met"), hot, sizes, scratch)
+        scratch.drop("met", "candidates", "copies")
         wide = members.groupBy("near").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where((F.col("n") > UNIT_DOCS) | (F.col("size") > UNIT_SHINGLES) & (F.col("n") > 2))
         wide = scratch.write(wide.select("near", _blocks("n", "size").alias("blocks")), "wide")
         links = _links(_units(members, wide), full, docs, scratch)

@@ -292,3 +292,22 @@ def test_links_within_by_brute_force(monkeypatch, few):
                     a, b = root(int(ids[i])), root(int(ids[j]))
                     up[max(a, b)] = min(a, b)
         assert jaccard_join.links_within(ids, ids.copy(), sets) == sorted((root(x), x) for x in up if root(x) != x)
+
+
+def test_join_leaves_no_shuffle_files_and_shuffles_no_prefix_of_what_has_no_copy(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)] + [(100, " ".join(f"w3x{j}" for j in range(30)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with common.Scratch(spark) as scratch:
+        full = scratch.write(jaccard_join._prefixes(docs, *jaccard_join.frequent_shingles(docs)), "prefixes")
+        classes = scratch.write(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+        held = len(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("shuffle_"))
+        scratch.write(classes.repartition(3, "rep"), "again")
+        assert len(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("shuffle_")) <= held
+        kept = jaccard_join._without_copies(full, classes, scratch)
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(40))
+        assert full.where("doc_id = 100").count() == 1 and scratch.paths
+        # the exact join stands above the bitmap, so what it shuffles is what the bitmap marks
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan
+        scratch.drop("copies")
+        assert not any("/copies-" in p for p in scratch.paths)
