@@ -49,9 +49,9 @@ def run_single(spark: SparkSession, c: Config) -> DataFrame:
         k, u = cluster.auto_k(rows, n, seed=c.seed, maxiter=c.maxiter)
     else:
         k = min(c.k, n)
-        u = spectral.smallest(rows, n, k, maxiter=c.maxiter, seed=c.seed)[1]
+        u = cluster.scaled(spectral.Embedding(rows, n, k, maxiter=c.maxiter, seed=c.seed).vectors)
     log.info("k used: %d", k)
-    labels = cluster.kmeans(cluster.frame(spark, u), k, seed=c.seed).persist()
+    labels = cluster.kmeans(u, k, seed=c.seed).persist()
     return _write_bins(contigs, labels, c.output_dir, k)
 
 
