@@ -85,10 +85,10 @@ def run_multiplex(spark: SparkSession, c: Config) -> DataFrame:
     log.info("reads: %s", funnel.first().asDict())
     rows = spectral.multiplex_rows(*(spectral.hyperedge_rows(i, incidence.vertex_degrees(i, vertices)) for i in (phys, chem)), n, c.beta)
     wanted = min(c.k, 2 * n - 1) if c.k > 0 else max(2, min(min(200, n - 1), 2 * n - 2))
-    values, u = spectral.smallest(rows, 2 * n, wanted, shift=1 + 2 * c.beta, maxiter=c.maxiter, seed=c.seed)
-    k = min(n, wanted if c.k > 0 else spectral.multiplex_k(values, n))
+    found = spectral.Embedding(rows, 2 * n, wanted, shift=1 + 2 * c.beta, maxiter=c.maxiter, seed=c.seed)
+    k = min(n, wanted if c.k > 0 else spectral.multiplex_k(found.values, n))
     log.info("k used: %d", k)
-    labels = cluster.kmeans(cluster.frame(spark, spectral.fuse_layers(u[:, :k])), k, seed=c.seed).persist()
+    labels = cluster.kmeans(spectral.fused(found.vectors.withColumn("features", F.slice("features", 1, k)), n), k, seed=c.seed).persist()
     return _write_bins(contigs, labels, out, None)
 
 
