@@ -141,10 +141,10 @@ def q_spectral_bins(s, d):
 
 
 def q_auto_k_bins(s, d):
-    """On contacts, with the reference method's range of k; one k-means start, as a registered query has to end soon."""
+    """On contacts, with the reference method's range of k and its 20 k-means starts."""
     (inc, deg), _, n = both_layers(s, d)
-    k, u = cluster.auto_k(spectral.hyperedge_rows(inc, deg), n, n_init=1)
-    return labelled(cluster.kmeans(u, k, n_init=1), k)
+    k, u = cluster.auto_k(spectral.hyperedge_rows(inc, deg), n)
+    return labelled(cluster.kmeans(u, k), k)
 
 
 def q_multiplex_bins(s, d):
