@@ -42,7 +42,8 @@ def contacts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def neighbours(s: SparkSession, d: str) -> DataFrame:
-    return knn.mutual(knn.knn(tables.features(s, d).select("v", "features"), KNN))
+    """Neighbours are kept, as both sides of the pairs and those who use them read them again."""
+    return knn.mutual(knn.knn(tables.features(s, d).select("v", "features"), KNN).persist())
 
 
 def chem(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
